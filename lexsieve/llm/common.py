@@ -106,3 +106,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each id, chosen as in texts(); rows with a null id all stay."""
+    from pyspark.sql import Window
+
+    twice = docs.filter(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("__lexsieve_twice")).count().filter("count > 1").select("__lexsieve_twice")
+    if twice.isEmpty():
+        return docs
+    cond = docs[id_col] == twice["__lexsieve_twice"]
+    once = docs.join(twice.hint("shuffle_hash"), cond, "left_anti")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text), text, F.xxhash64(*[c for c in docs.columns]))
+    best = docs.join(twice.hint("shuffle_hash"), cond, "left_semi").withColumn("__lexsieve_nth", F.row_number().over(order)).filter("__lexsieve_nth = 1").drop("__lexsieve_nth")
+    return once.unionByName(best)

@@ -18,12 +18,28 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_repeats
 
     return substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+#: Shards of the production layout: two machine classes, the larger with twice the weight.
+SHARDS = {i: 2.0 if i >= 12 else 1.0 for i in range(16)}
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rendezvous import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents"), SHARDS)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -31,9 +47,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op5_simhash_dedup": op5_simhash_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .rendezvous import assign_shards_sql
+
+    return {"op9_sharding": assign_shards_sql("documents", SHARDS)}
