@@ -36,12 +36,26 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted documents with their languages."""
+    from .language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).filter("accepted").drop("accepted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_repeats
 
     return substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hidden_markov import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 #: Shards of the production layout: two machine classes, the larger with twice the weight.
 SHARDS = {i: 2.0 if i >= 12 else 1.0 for i in range(16)}
 
@@ -52,6 +66,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -62,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_sharding": op9_sharding,
+        "op10_quality": op10_quality,
     }
 
 
