@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -22,20 +24,31 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of spark.checkpoint.dir, which all executors share.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
     Where that is unset, a local master gets a temporary folder; a cluster is refused one.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="lexsieve-checkpoint-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
+_own: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in checkpoint_folder()."""
     spark = session(df)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lexsieve-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
 
 

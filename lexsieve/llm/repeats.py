@@ -2,7 +2,7 @@
 
 Every window of `min_words` words is represented by the least hash of its `seed_words`-grams (winnowing): equal
 windows have equal representatives. Consecutive windows of one document with one representative form a *run*.
-Only runs whose representative occurs again can hold a repeat, which a light exchange of (representative,
+Only runs whose representative occurs again, in another run or at another place of its own, can hold a repeat, which a light exchange of (representative,
 document, position) decides exactly; the words of those runs alone then travel, each run to its representative.
 """
 
@@ -32,7 +32,8 @@ def _runs(min_words: int, seed_words: int) -> Callable:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slabs(batch.column(1)):
-                least = sliding_min(gram_hash(s.words, seed_words), window)
+                grams = gram_hash(s.words, seed_words)
+                least = sliding_min(grams, window)
                 at = np.flatnonzero(starts_within(s.offsets, min_words, len(least)))
                 if not len(at):
                     continue
@@ -40,6 +41,10 @@ def _runs(min_words: int, seed_words: int) -> Callable:
                 new = np.ones(len(at), bool)
                 new[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)
                 first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at)) - 1
+                inner = np.arange(window)
+                left = at[first] + grams[at[first, None] + inner].argmin(1)
+                right = at[last] + window - 1 - grams[at[last, None] + inner[::-1]].argmin(1)
                 doc = np.searchsorted(s.offsets, at[first], "right") - 1
                 yield pa.record_batch(
                     [
@@ -47,21 +52,19 @@ def _runs(min_words: int, seed_words: int) -> Callable:
                         pa.array(ids[s.row + doc]),
                         pa.array((at[first] - s.offsets[doc]).astype(np.int32)),
                         pa.array(np.diff(np.append(first, len(at))).astype(np.int32)),
+                        pa.array(left != right),
                     ],
-                    names=["anchor", "doc_id", "start", "size"],
+                    names=["anchor", "doc_id", "start", "size", "twice"],
                 )
 
     return run
 
 
-def _repeated(window: int) -> Callable:
-    def make(t: pa.Table) -> pa.Table:
-        anchor = t["anchor"].to_numpy()
-        _, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
-        keep = (n[at] > 1) | (t["size"].to_numpy() > window)
-        return t.filter(pa.array(keep))
-
-    return make
+def _repeated(t: pa.Table) -> pa.Table:
+    """Runs whose representative occurs more than once, here or in another run."""
+    _, at, n = np.unique(t["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+    keep = (n[at] > 1) | t["twice"].to_numpy(zero_copy_only=False)
+    return t.select(["anchor", "doc_id", "start", "size"]).filter(pa.array(keep))
 
 
 def _words_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +164,8 @@ def find_repeats(docs: DataFrame, find: Callable[[Group], pa.Table], min_words:
         raise ValueError("seed_words must be between 1 and min_words")
     rows = texts(docs, id_col, text_col)
     session(docs)
-    runs = rows.mapInArrow(_runs(min_words, seed_words), RUN)
-    again = whole_partitions(runs, ["anchor"], _repeated(min_words - seed_words + 1), RUN)
+    runs = rows.mapInArrow(_runs(min_words, seed_words), RUN + ", twice boolean")
+    again = whole_partitions(runs, ["anchor"], _repeated, RUN)
     item = F.struct("anchor", "start", "size", (F.col("size") + (min_words - 1)).alias("extent"))
     wanted = again.groupBy("doc_id").agg(F.collect_list(item).alias("runs"))
     held = rows.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")

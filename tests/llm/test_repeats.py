@@ -21,6 +21,8 @@ def corpus(seed: int) -> list[tuple[int, str]]:
         for _ in range(rng.randint(0, 5)):
             parts.append(rng.choice(passages) if rng.random() < 0.5 else " ".join(rng.choices(words, k=rng.randint(1, 40))))
         docs.append((i * 3, ", ".join(parts)))
+    for i in range(1, 30):  # short periods in the midst of other words
+        docs.append((2000 + i, " ".join(rng.choices(words, k=9) + ["p", "q", "p"][: 1 + i % 3] * (4 + i % 7) + rng.choices(words, k=8))))
     docs += [(1000, "la " * 60), (1001, "LA la. " * 30), (1002, docs[5][1]), (1003, docs[5][1]), (1004, "ab " * 9)]
     return docs
 
