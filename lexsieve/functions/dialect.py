@@ -58,8 +58,14 @@ class _Spark(Dialect):
     def chain(self, *lists):
         return "concat(" + ", ".join(lists) + ")"
 
-    def flags(self, pattern):
-        return "(?i)" + pattern
+    def let(self, x, name, body):
+        """body with name standing for x, which is worked out once."""
+        return f"element_at(transform(array({x}), {name} -> {body}), 1)"
+
+    def barrier(self, query, columns):
+        """query, computed before any filter above it: Spark would else copy long expressions into each pushed predicate."""
+        fields = ", ".join(f"'{c}', {c}" for c in columns)
+        return f"SELECT inline(array(named_struct({fields}))) FROM ({query})"
 
     def words(self, x):
         return f"filter(split(trim({x}), '\\\\s+'), w -> w <> '')"
@@ -116,8 +122,11 @@ class _Duck(Dialect):
     def chain(self, *lists):
         return "(" + " || ".join(lists) + ")"
 
-    def flags(self, pattern):
-        return "(?i)" + pattern
+    def let(self, x, name, body):
+        return f"list_transform([{x}], lambda {name}: {body})[1]"
+
+    def barrier(self, query, columns):
+        return f"SELECT {', '.join(columns)} FROM ({query})"
 
     def words(self, x):
         return f"list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')"

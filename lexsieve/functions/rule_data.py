@@ -139,7 +139,7 @@ date; these directions shall come into effect (on|from) %
 date; these[ master] direction[s] shall (come into force|be applicable) (on|from|w\\.e\\.f[\\.]) @
 date; w\\.e\\.f[\\.] @
 issue; immediately upon publication | upon issuance | from the date of issuance
-none; supersede[s|d] [the ](circular|direction|instruction) {[a-z][a-z./\\-\\d]+}
+none; supersede[s|d] [the ](circular|direction|instruction) {[a-z][-a-z./\\d]+}
 year; (effective|with effect|applicable) from [the ]financial year $
 year; (effective|with effect|applicable) from [the ]fy[ ]$
 """

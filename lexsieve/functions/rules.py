@@ -182,8 +182,8 @@ def deadline_duration(D: Dialect, rule: str, flat: str) -> str:
 
 
 def deadline_date(D: Dialect, rule: str, flat: str) -> str:
-    out = {n: iso_date(D, D.extract(flat, p, 1)) for n, (_, duration, p) in enumerate(deadlines()) if duration == "@" or p.startswith(r"(?i)\bby")}
-    return _by_rule(D, rule, out, D.text(None))
+    out = {n: D.extract(flat, p, 1) for n, (_, duration, p) in enumerate(deadlines()) if duration == "@"}
+    return iso_date(D, _by_rule(D, rule, out, D.text(None)))
 
 
 def deadline_frequency(D: Dialect, rule: str) -> str:
@@ -194,16 +194,17 @@ def deadline_frequency(D: Dialect, rule: str) -> str:
 
 def urgency_of(D: Dialect, number: str, unit: str) -> str:
     """Urgency of a number of days, weeks, months or years; of words instead of a number, medium."""
-    n = D.number(number)
-    days = f"{n} * CASE WHEN contains(lower({unit}), 'week') THEN 7 WHEN contains(lower({unit}), 'month') THEN 30 WHEN contains(lower({unit}), 'year') THEN 365 ELSE 1 END"
-    return f"CASE WHEN {n} IS NULL THEN 'medium_term' WHEN {days} <= 0 THEN 'immediate' WHEN {days} <= 30 THEN 'short_term' WHEN {days} <= 90 THEN 'medium_term' ELSE 'long_term' END"
+    per = f"CASE WHEN contains(lower({unit}), 'week') THEN 7 WHEN contains(lower({unit}), 'month') THEN 30 WHEN contains(lower({unit}), 'year') THEN 365 ELSE 1 END"
+    body = "CASE WHEN days_ IS NULL THEN 'medium_term' WHEN days_ <= 0 THEN 'immediate' WHEN days_ <= 30 THEN 'short_term' WHEN days_ <= 90 THEN 'medium_term' ELSE 'long_term' END"
+    return D.let(f"{D.number(number)} * {per}", "days_", body)
 
 
 def deadline_urgency(D: Dialect, rule: str, flat: str, override: str) -> str:
     """An override wins unless the rule says immediate; without a rule, conditions are triggered and all else is ongoing."""
     own = _by_rule(D, rule, {n: urgency_of(D, D.extract(flat, p, 1), D.extract(flat, p, 2)) if u == "?" else D.text(u) for n, (u, _, p) in enumerate(deadlines())}, D.text(None))
     conditional = D.matches(flat, r"(?i)\b(?:in case of|where|if|subject to)\b")
-    return f"CASE WHEN {rule} IS NOT NULL THEN CASE WHEN {own} = 'immediate' THEN 'immediate' ELSE coalesce({override}, {own}) END WHEN {override} IS NOT NULL THEN {override} WHEN {conditional} THEN 'triggered' ELSE 'ongoing' END"
+    ruled = D.let(own, "own_", f"CASE WHEN own_ = 'immediate' THEN own_ ELSE coalesce({override}, own_) END")
+    return f"CASE WHEN {rule} IS NOT NULL THEN {ruled} WHEN {override} IS NOT NULL THEN {override} WHEN {conditional} THEN 'triggered' ELSE 'ongoing' END"
 
 
 def deadline_label(D: Dialect, rule: str, found: str, flat: str, override: str) -> str:
@@ -220,17 +221,18 @@ def _month(D: Dialect, x: str) -> str:
 
 def iso_date(D: Dialect, x: str) -> str:
     """F16: D.M.Y with any of ./-, Month D, Y or D Month Y to Y-M-D, no calendar looked at; null for anything else."""
-    x, names = f"trim({x})", "|".join(MONTHS)
-    dmy, mdy, dm = rf"^(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}})$", rf"(?i)^({names})\s+(\d{{1,2}}),?\s+(\d{{4}})$", rf"(?i)^(\d{{1,2}})\s+({names})\s+(\d{{4}})$"
+    names, v = "|".join(MONTHS), "iso_"
+    dmy, mdy, dm = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", rf"(?i)^({names})\s+(\d{{1,2}}),?\s+(\d{{4}})$", rf"(?i)^(\d{{1,2}})\s+({names})\s+(\d{{4}})$"
     pad = lambda g: f"lpad({g}, 2, '0')"
-    return D.case(
+    body = D.case(
         [
-            (D.matches(x, dmy), f"concat({D.extract(x, dmy, 3)}, '-', {pad(D.extract(x, dmy, 2))}, '-', {pad(D.extract(x, dmy, 1))})"),
-            (D.matches(x, mdy), f"concat({D.extract(x, mdy, 3)}, '-', {_month(D, D.extract(x, mdy, 1))}, '-', {pad(D.extract(x, mdy, 2))})"),
-            (D.matches(x, dm), f"concat({D.extract(x, dm, 3)}, '-', {_month(D, D.extract(x, dm, 2))}, '-', {pad(D.extract(x, dm, 1))})"),
+            (D.matches(v, dmy), f"concat({D.extract(v, dmy, 3)}, '-', {pad(D.extract(v, dmy, 2))}, '-', {pad(D.extract(v, dmy, 1))})"),
+            (D.matches(v, mdy), f"concat({D.extract(v, mdy, 3)}, '-', {_month(D, D.extract(v, mdy, 1))}, '-', {pad(D.extract(v, mdy, 2))})"),
+            (D.matches(v, dm), f"concat({D.extract(v, dm, 3)}, '-', {_month(D, D.extract(v, dm, 2))}, '-', {pad(D.extract(v, dm, 1))})"),
         ],
         D.text(None),
     )
+    return D.let(f"trim({x})", v, body)
 
 
 def fiscal_year(D: Dialect, x: str) -> str:
@@ -243,7 +245,7 @@ def first_date(D: Dialect, x: str) -> str:
     """first of the notations that occurs at all, its first place."""
     names = "|".join(MONTHS)
     forms = (r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", rf"(?i)\b(?:{names})\s+\d{{1,2}},?\s+\d{{4}}\b", rf"(?i)\b\d{{1,2}}\s+(?:{names})\s+\d{{4}}\b")
-    return "coalesce(" + ", ".join(iso_date(D, D.extract(x, f)) for f in forms) + ")"
+    return iso_date(D, "coalesce(" + ", ".join(D.extract(x, f) for f in forms) + ")")
 
 
 @lru_cache
@@ -260,9 +262,13 @@ def effective_date(D: Dialect, x: str) -> str:
     """by the first rule that matches; a rule for amendments gives null, one for issuance the literal date_of_circular, one for years goes on if it can't be read."""
     pairs = []
     for kind, p in effective_rules():
-        value = {"date": lambda p=p: iso_date(D, D.extract(x, p, 1)), "issue": lambda: "'date_of_circular'", "none": lambda: D.text(None), "year": lambda p=p: fiscal_year(D, D.extract(x, p, 1))}[kind]()
-        pairs.append((f"({D.matches(x, p)}" + (f" AND {value} IS NOT NULL" if kind == "year" else "") + ")", value))
-    return D.case(pairs, D.text(None))
+        found = D.extract(x, p, 1)
+        if kind == "year":
+            pairs.append((D.matches(x, p.replace(r"\d{2,4})", r"\d{2})") + r"(?:\D|$)"), D.extract(found, r"^\d{4}")))
+        else:
+            pairs.append((D.matches(x, p), {"date": found, "issue": "'date_of_circular'", "none": D.text(None)}[kind]))
+    v = "found_"
+    return D.let(D.case(pairs, D.text(None)), v, f"CASE WHEN {v} = 'date_of_circular' THEN {v} WHEN {D.matches(v, r'^\d{4}$')} THEN concat({v}, '-04-01') ELSE {iso_date(D, v)} END")
 
 
 def domain_scores(D: Dialect, low: str) -> list[tuple[str, str]]:

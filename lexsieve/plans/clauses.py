@@ -194,8 +194,9 @@ def field_vote(D: Dialect) -> str:
 
 def kept(D: Dialect) -> str:
     """Clauses that are obligations: not quoted, boilerplate or without any signal, and of a suitable clause type."""
+    columns = "doc_id section_id source clause_text low trigger_id weight kind found actor clause_type obligation_type domain sub_type deadline duration deadline_date urgency n_references severity confidence penalty fine points".split()
     return f"""
-        SELECT * FROM ({resolved(D)})
+        SELECT * FROM ({D.barrier(resolved(D), columns)})
         WHERE NOT {D.one_of("clause_type", ("definition", "cross_reference", "effective_date", "quoted_reference"))} AND NOT {R.is_quoted(D, "clause_text", "clause_type")} AND NOT {R.is_boilerplate(D, "clause_text")}
           AND length(trim(clause_text)) >= 20 AND (trigger_id IS NOT NULL OR urgency <> 'ongoing' OR n_references > 0)
           AND ({D.one_of("clause_type", ("obligation", "penalty", "permission"))} OR coalesce(weight, 0) >= 0.9)"""
@@ -217,7 +218,7 @@ def document_summary(D: Dialect) -> str:
     """A5: totals and status of each document; without obligations it is partial."""
     return f"""
         SELECT c.doc_id, max(c.source) AS source, count(*) AS sections, count(k.section_id) AS obligations, count(DISTINCT k.domain) AS domains,
-               sum(CASE WHEN k.severity = 'critical' THEN 1 ELSE 0 END) AS critical, CASE WHEN count(k.section_id) = 0 THEN 'partial' ELSE 'success' END AS status
+               CAST(sum(CASE WHEN k.severity = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical, CASE WHEN count(k.section_id) = 0 THEN 'partial' ELSE 'success' END AS status
         FROM ({corpus.clauses(D)}) c LEFT JOIN ({kept(D)}) k ON c.doc_id = k.doc_id AND c.section_id = k.section_id GROUP BY c.doc_id"""
 
 
@@ -292,10 +293,10 @@ def section_rows(D: Dialect) -> str:
                coalesce({D.extract("trim(line)", number, 2)}, {D.extract("trim(line)", roman, 2)}) AS body,
                sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
         FROM ({lines}) WHERE NOT {D.matches("trim(line)", r"^(?:\d+|[_. -]{5,})$")}"""
-    counted = f"SELECT *, sum(CASE WHEN num IS NOT NULL OR rom IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM ({marked})"
+    counted = f"SELECT *, CAST(sum(CASE WHEN num IS NOT NULL OR rom IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS nth FROM ({marked})"
     return f"""
         SELECT doc_id, nth AS section, max(coalesce(num, rom)) AS section_no, max(CASE WHEN num IS NOT NULL THEN 1 WHEN rom IS NOT NULL THEN 3 END) AS level,
-               max(body) AS heading, coalesce(min(before), 0) AS char_offset, {D.concat_lines("line", "pos")} AS section_text
+               max(body) AS heading, CAST(coalesce(min(before), 0) AS BIGINT) AS char_offset, {D.concat_lines("line", "pos")} AS section_text
         FROM ({counted}) WHERE nth > 0 GROUP BY doc_id, nth"""
 
 
@@ -344,9 +345,9 @@ def cosine_patterns(D: Dialect) -> str:
 
 
 def duplicate_pairs(D: Dialect) -> str:
-    """J8, the part that is exact: obligations of one document, actor and text up to digits, each against the first of them."""
+    """J8, the part that is exact: obligations of one source, actor and text up to digits, each against the first of them."""
     key = D.replace("low", "[0-9]+", "#")
-    return f"SELECT doc_id, section_id, first_section FROM (SELECT {KEYS}, min(section_id) OVER (PARTITION BY doc_id, actor, {key}) AS first_section FROM ({kept(D)})) WHERE section_id > first_section"
+    return f"SELECT doc_id, section_id, first_section FROM (SELECT {KEYS}, min(section_id) OVER (PARTITION BY source, actor, {key}) AS first_section FROM ({kept(D)})) WHERE section_id > first_section"
 
 
 def text_profile(D: Dialect) -> str:
@@ -399,3 +400,12 @@ PLANS: dict[str, Callable[[Dialect], str]] = {
     "text_profile": text_profile,
     "table_runs": table_runs,
 }
+
+
+def candidate_clauses(D: Dialect) -> str:
+    """What the candidate profile needs of each obligation clause."""
+    return f"SELECT *, {D.sorted_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({kept(D)})"
+
+
+#: Plans that other operators build on.
+INNER: dict[str, Callable[[Dialect], str]] = {"candidate_clauses": candidate_clauses, "kept_obligations": kept}

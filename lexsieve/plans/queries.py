@@ -9,14 +9,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from .clauses import PLANS
+from .clauses import INNER, PLANS
 
 TABLES = ("orders", "customer", "region", "documents")
 
 
 def run(spark: SparkSession, sf_dir: str, plan: str) -> DataFrame:
     """A plan over the Parquet tables in sf_dir. Tables are named in the text by their paths, so that nothing is registered in the session."""
-    text = PLANS[plan](SPARK)
+    text = (PLANS | INNER)[plan](SPARK)
     for table in TABLES:
         text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
     return spark.sql(text)
