@@ -12,20 +12,20 @@ from . import corpus
 KEYS = "doc_id, section_id"
 
 
-def lowered(D: Dialect) -> str:
-    return f"SELECT *, lower({R.one_line(D, 'clause_text')}) AS low, {R.deadline_text(D, 'clause_text')} AS flat FROM ({corpus.clauses(D)})"
+def lowered(D: Dialect, base: str | None = None) -> str:
+    return f"SELECT *, lower({R.one_line(D, 'clause_text')}) AS low, {R.deadline_text(D, 'clause_text')} AS flat FROM ({base or corpus.clauses(D)})"
 
 
-def matched(D: Dialect) -> str:
+def matched(D: Dialect, base: str | None = None) -> str:
     """One row a clause with what each rule table finds by itself."""
     scores = R.domain_scores(D, "low")
     return f"""
         SELECT *, {R.trigger_id(D, "low")} AS trigger_id, {R.actor(D, "low", "source")} AS raw_actor, {R.deadline_rule(D, "flat")} AS rule,
                {R.sub_type(D, "low")} AS own_sub_type, {R.clause_type(D, "low")} AS raw_clause, {", ".join(f"{s} AS p{i}" for i, (_, s) in enumerate(scores))}
-        FROM ({lowered(D)})"""
+        FROM ({lowered(D, base)})"""
 
 
-def resolved(D: Dialect) -> str:
+def resolved(D: Dialect, base: str | None = None) -> str:
     """matched() with everything that depends on other findings."""
     points = [f"p{i}" for i in range(len(R.domain_names()))]
     kept = "doc_id, section_id, source, clause_text, low, flat, trigger_id, rule, own_sub_type"
@@ -33,7 +33,7 @@ def resolved(D: Dialect) -> str:
         SELECT {kept}, {R.corrected_actor(D, "raw_actor", "low")} AS actor, greatest({", ".join(points)}) AS points, {R.best_domain(D, points, f"greatest({', '.join(points)})")} AS own_domain,
                {R.trigger_field(D, "trigger_id", "kind")} AS kind, {R.trigger_field(D, "trigger_id", "urgency")} AS override, {R.trigger_field(D, "trigger_id", "weight")} AS weight,
                {R.trigger_text(D, "trigger_id", "low")} AS found, {R.final_clause_type(D, "raw_clause", "clause_text")} AS clause_type
-        FROM ({matched(D)})"""
+        FROM ({matched(D, base)})"""
     two = f"""
         SELECT *, {R.sector_id(D, "low", "actor")} AS sector, {R.obligation_type(D, "kind", "low")} AS obligation_type, {R.deadline_found(D, "rule", "flat")} AS when_text
         FROM ({one})"""
@@ -192,11 +192,11 @@ def field_vote(D: Dialect) -> str:
     return vote_results(D, votes(D))
 
 
-def kept(D: Dialect) -> str:
+def kept(D: Dialect, base: str | None = None) -> str:
     """Clauses that are obligations: not quoted, boilerplate or without any signal, and of a suitable clause type."""
     columns = "doc_id section_id source clause_text low trigger_id weight kind found actor clause_type obligation_type domain sub_type deadline duration deadline_date urgency n_references severity confidence penalty fine points".split()
     return f"""
-        SELECT * FROM ({D.barrier(resolved(D), columns)})
+        SELECT * FROM ({D.barrier(resolved(D, base), columns)})
         WHERE NOT {D.one_of("clause_type", ("definition", "cross_reference", "effective_date", "quoted_reference"))} AND NOT {R.is_quoted(D, "clause_text", "clause_type")} AND NOT {R.is_boilerplate(D, "clause_text")}
           AND length(trim(clause_text)) >= 20 AND (trigger_id IS NOT NULL OR urgency <> 'ongoing' OR n_references > 0)
           AND ({D.one_of("clause_type", ("obligation", "penalty", "permission"))} OR coalesce(weight, 0) >= 0.9)"""
@@ -402,9 +402,9 @@ PLANS: dict[str, Callable[[Dialect], str]] = {
 }
 
 
-def candidate_clauses(D: Dialect) -> str:
+def candidate_clauses(D: Dialect, base: str | None = None) -> str:
     """What the candidate profile needs of each obligation clause."""
-    return f"SELECT *, {D.sorted_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({kept(D)})"
+    return f"SELECT *, {D.sorted_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({kept(D, base)})"
 
 
 #: Plans that other operators build on.
