@@ -33,6 +33,9 @@ class _Spark(Dialect):
     def text(self, value):
         return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    def any_of(self, x, words):
+        return "(" + " OR ".join(f"contains({x}, {self.text(w)})" for w in words) + ")"
+
     def matches(self, x, pattern):
         return f"regexp_like({x}, {self.text(pattern)})"
 
@@ -50,7 +53,7 @@ class _Spark(Dialect):
         return "array(" + ", ".join(self.text(v) for v in values) + ")" if values else "CAST(array() AS ARRAY<STRING>)"
 
     def count_in(self, x, words):
-        return f"size(filter({self.strings(words)}, k -> contains({x}, k)))"
+        return "size(array_remove(array(" + ", ".join(f"contains({x}, {self.text(w)})" for w in words) + "), false))"
 
     def sorted_set(self, x):
         return f"array_join(array_sort(array_distinct({x})), ',')"

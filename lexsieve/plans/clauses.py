@@ -22,7 +22,7 @@ def matched(D: Dialect, base: str | None = None) -> str:
     return f"""
         SELECT *, {R.trigger_id(D, "low")} AS trigger_id, {R.actor(D, "low", "source")} AS raw_actor, {R.deadline_rule(D, "flat")} AS rule,
                {R.sub_type(D, "low")} AS own_sub_type, {R.clause_type(D, "low")} AS raw_clause, {", ".join(f"{s} AS p{i}" for i, (_, s) in enumerate(scores))}
-        FROM ({lowered(D, base)})"""
+        FROM ({D.barrier(lowered(D, base), "doc_id section_id source clause_text low flat".split())})"""
 
 
 def resolved(D: Dialect, base: str | None = None) -> str:
@@ -33,7 +33,7 @@ def resolved(D: Dialect, base: str | None = None) -> str:
         SELECT {kept}, {R.corrected_actor(D, "raw_actor", "low")} AS actor, greatest({", ".join(points)}) AS points, {R.best_domain(D, points, f"greatest({', '.join(points)})")} AS own_domain,
                {R.trigger_field(D, "trigger_id", "kind")} AS kind, {R.trigger_field(D, "trigger_id", "urgency")} AS override, {R.trigger_field(D, "trigger_id", "weight")} AS weight,
                {R.trigger_text(D, "trigger_id", "low")} AS found, {R.final_clause_type(D, "raw_clause", "clause_text")} AS clause_type
-        FROM ({matched(D, base)})"""
+        FROM ({D.barrier(matched(D, base), f"doc_id section_id source clause_text low flat trigger_id rule own_sub_type raw_actor raw_clause {' '.join(points)}".split())})"""
     two = f"""
         SELECT *, {R.sector_id(D, "low", "actor")} AS sector, {R.obligation_type(D, "kind", "low")} AS obligation_type, {R.deadline_found(D, "rule", "flat")} AS when_text
         FROM ({one})"""
@@ -43,7 +43,7 @@ def resolved(D: Dialect, base: str | None = None) -> str:
                coalesce({R.sector_field(D, "sector", "duration")}, {R.deadline_duration(D, "rule", "flat")}) AS duration, {R.deadline_date(D, "rule", "flat")} AS deadline_date,
                coalesce({R.sector_field(D, "sector", "urgency")}, {R.deadline_urgency(D, "rule", "flat", "override")}) AS urgency,
                {R.penalty(D, "clause_text")} AS penalty, {R.fine(D, "clause_text")} AS fine, {D.size(R.cross_references(D, "clause_text"))} AS n_references
-        FROM ({two})"""
+        FROM ({D.barrier(two, f"{kept.replace(',', '')} actor points own_domain kind override weight found clause_type sector obligation_type when_text".split())})"""
     four = f"SELECT *, {R.severity(D, 'low', 'urgency', 'obligation_type', 'sub_type', 'domain')} AS own_severity, {R.sector_field(D, 'sector', 'severity')} AS least FROM ({three})"
     conf = R.confidence(D, "clause_text", "found", "urgency", "n_references > 0", "actor", "points", "penalty IS NOT NULL", "coalesce(fine, 0) > 0", "clause_type")
     return f"""
@@ -345,8 +345,8 @@ def cosine_patterns(D: Dialect) -> str:
 
 
 def duplicate_pairs(D: Dialect) -> str:
-    """J8, the part that is exact: obligations of one source, actor and text up to digits, each against the first of them."""
-    key = D.replace("low", "[0-9]+", "#")
+    """J8, the part that is exact: obligations of one source, actor and opening, digits aside, each against the first of them."""
+    key = f"substr({D.replace('low', '[0-9]+', '#')}, 1, 48)"
     return f"SELECT doc_id, section_id, first_section FROM (SELECT {KEYS}, min(section_id) OVER (PARTITION BY source, actor, {key}) AS first_section FROM ({kept(D)})) WHERE section_id > first_section"
 
 
