@@ -221,5 +221,5 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the keeper alone of each group, one row for each id. Rows in no group stay, null ids too."""
-    gone = groups.select(F.explode("doc_ids").alias("doc_id"), "keeper_doc_id").filter("doc_id <> keeper_doc_id")
+    gone = cut(groups.select(F.explode("doc_ids").alias("doc_id"), "keeper_doc_id").filter("doc_id <> keeper_doc_id").select("doc_id"))
     return one_row_per_id(keep_columns(docs, gone, "left_anti", id_col), id_col, text_col)
