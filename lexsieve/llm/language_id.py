@@ -63,15 +63,18 @@ class Model:
     """
 
     def __init__(self, samples: np.ndarray, labels: list[str], per_class: int, ridge: float, max_n: int):
+        """samples: presence of each slot, as booleans or as packed bits."""
         self.max_n = max_n
         self.classes = sorted(set(labels))
         y = np.array([self.classes.index(x) for x in labels])
         marks = np.concatenate([np.flatnonzero(y == c)[:per_class] for c in range(len(self.classes))])
-        self.columns = np.flatnonzero(samples[marks].any(0))
-        held = samples[marks][:, self.columns].astype(np.float32)
-        size = np.sqrt(samples[marks].sum(1))
+        bits = lambda rows: np.unpackbits(samples[rows], axis=1).astype(bool) if samples.dtype == np.uint8 else samples[rows]
+        chosen = bits(marks)
+        self.columns = np.flatnonzero(chosen.any(0))
+        held = chosen[:, self.columns].astype(np.float32)
+        size = np.sqrt(chosen.sum(1))
         self.table = (held / size[:, None].astype(np.float32)).T.copy()
-        k = self.kernel(samples)
+        k = np.concatenate([self.kernel(bits(slice(a, a + 128))) for a in range(0, len(samples), 128)])
         value, vector = np.linalg.eigh(k[marks])
         some = value > 1e-6 * value.max()
         root = vector[:, some] / np.sqrt(value[some])
@@ -117,7 +120,7 @@ def train(docs: DataFrame, per_language: int = 600, landmarks: int = 32, ridge:
         return None
     got["rank"] = [hash_rank(i) for i in got["doc_id"]]
     got = got.sort_values(["rank", "doc_id", "label", "bits"])
-    samples = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
+    samples = np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1)
     some = samples.any(1)
     labels = [x for x, s in zip(got["label"], some) if s]
     return Model(samples[some], labels, landmarks, ridge, max_n) if labels else None
