@@ -55,8 +55,15 @@ def _picked(columns: str, base: Callable[[Dialect], str] = resolved) -> Callable
     return lambda D: f"SELECT {KEYS}, {columns} FROM ({base(D)})"
 
 
+def _found(D: Dialect) -> str:
+    """Trigger and deadline rule of each clause, and nothing else."""
+    text = D.barrier(lowered(D), "doc_id section_id low flat".split())
+    return D.barrier(f"SELECT *, {R.trigger_id(D, 'low')} AS trigger_id, {R.deadline_rule(D, 'flat')} AS rule FROM ({text})", "doc_id section_id low flat trigger_id rule".split())
+
+
 def trigger_match(D: Dialect) -> str:
-    return f"SELECT {KEYS}, trigger_id, kind, weight, found, override, {R.is_negation(D, 'low')} AS negated FROM ({resolved(D)})"
+    fields = ", ".join(f"{R.trigger_field(D, 'trigger_id', f)} AS {n}" for f, n in (("kind", "kind"), ("weight", "weight"), ("urgency", "override")))
+    return f"SELECT {KEYS}, trigger_id, {fields}, {R.trigger_text(D, 'trigger_id', 'low')} AS found, {R.is_negation(D, 'low')} AS negated FROM ({_found(D)})"
 
 
 def actor_match(D: Dialect) -> str:
@@ -69,10 +76,11 @@ def sub_types(D: Dialect) -> str:
 
 
 def deadline_extract(D: Dialect) -> str:
+    one = f"SELECT *, {R.trigger_field(D, 'trigger_id', 'urgency')} AS override, {R.deadline_found(D, 'rule', 'flat')} AS when_text FROM ({_found(D)})"
     return f"""
         SELECT {KEYS}, rule, {R.deadline_label(D, "rule", "when_text", "flat", "override")} AS deadline, {R.deadline_duration(D, "rule", "flat")} AS duration,
                {R.deadline_date(D, "rule", "flat")} AS absolute_date, {R.deadline_urgency(D, "rule", "flat", "override")} AS urgency, {R.deadline_frequency(D, "rule")} AS frequency
-        FROM ({resolved(D)})"""
+        FROM ({one})"""
 
 
 def dates(D: Dialect) -> str:
