@@ -69,3 +69,12 @@ def test_score_prefers_the_corpus_and_handles_edges(spark):
     assert got[0].per_word > got[100].per_word > got[101].per_word
     assert got[105].n_words == 80_000 and got[104].n_words == 2 and np.isfinite(got[105].log_likelihood)
     assert score(docs.limit(0)).count() == 0
+
+
+def test_states_separate_before_training_ends(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{w}" for w in rng.integers(0, 60, 50))) for i in range(240)]
+    got = score(spark.createDataFrame(rows, "doc_id bigint, text string")).agg({"log_likelihood": "sum", "n_words": "sum"}).first()
+    _, n = np.unique(" ".join(t for _, t in rows).split(), return_counts=True)
+    unigram = (n * np.log(n / n.sum())).sum() / n.sum()
+    assert got["sum(log_likelihood)"] / got["sum(n_words)"] - unigram > 1  # ln 4, less the changes of state
