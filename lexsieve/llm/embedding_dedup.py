@@ -21,23 +21,25 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _unit(dim: int):
+def _unit(dim: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             size = np.sqrt((flat**2).sum(1))
             ok = np.isfinite(size) & (size > 0)
-            unit = (flat[ok] / size[ok, None]).astype(np.float32)
+            unit = np.pad(flat[ok] / size[ok, None], ((0, 0), (0, width - dim))).astype(np.float32)
             yield pa.record_batch([pa.array(ids[ok]), pa.array([v.tobytes() for v in unit], pa.binary())], names=["vec_id", "vec"])
 
     return run
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, unit vector as bytes), one row per id, and the dimension.
+def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, subspaces: int) -> tuple[DataFrame, int, int]:
+    """(vec_id, unit vector as bytes), one row per id, the dimension, and the number of subspaces, one for each element at most.
 
-    The dimension is the commonest length (the least, if tied). Null ids, null or empty vectors, vectors of another length or with a
+    Zeros are appended up to a dimension that the number of subspaces divides.
+
+    The length of the vectors is the commonest (the least, if tied). Null ids, null or empty vectors, vectors of another length or with a
     null, infinite or NaN element, and zero vectors are left out; of rows that share an id the least vector stays.
     """
     session(vectors)
@@ -46,7 +48,9 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFra
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = sizes["n"] if sizes else 1
     one = rows.filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one.mapInArrow(_unit(dim), UNIT), dim
+    subspaces = min(subspaces, dim)
+    width = -(-dim // subspaces) * subspaces
+    return one.mapInArrow(_unit(dim, width), UNIT), width, subspaces
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -119,6 +123,9 @@ class Quantiser:
         rest = (x - self.centres[cell]).reshape(len(x), self.books.shape[0], -1)
         return np.stack([nearest(rest[:, j], self.books[j])[:, 0] for j in range(self.books.shape[0])], 1).astype(np.uint8)
 
+    def decoded(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        return self.centres[cell] + np.concatenate([self.books[j][codes[:, j]] for j in range(self.books.shape[0])], 1)
+
     def products(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric estimates of query . vector for the coded vectors of one cell, by table lookups."""
         parts = queries.reshape(len(queries), self.books.shape[0], -1)
@@ -180,7 +187,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in parent if find(x) != x]
 
 
-def _scan(q: Quantiser, dim: int, least: float, slack: float, pairs: bool):
+def floors(x: np.ndarray, decoded: np.ndarray, least: float) -> np.ndarray:
+    """For each unit vector and what its codes decode to: no unit vector with a cosine of at least `least` to x has a lower product with the latter.
+
+    A query at angle t to x has at least a cos(t) - b sin(t), a and b being the parts of the decoded vector along and across x; for a >= 0
+    that falls up to a right angle.
+    """
+    c = least - 1e-6  # room for rounding
+    along, square = np.einsum("ij,ij->i", x, decoded), (decoded**2).sum(1)
+    across = np.sqrt(np.maximum(0, square - along**2))
+    return np.where((along >= 0) & (c >= 0), along * c - across * np.sqrt(max(0, 1 - c * c)), -np.sqrt(square)) - 1e-6
+
+
+def _scan(q: Quantiser, dim: int, least: float, pairs: bool):
     def make(t: pa.Table) -> pa.Table:
         cell, ids = t["cell"].to_numpy(), t["vec_id"].to_numpy()
         vecs = matrix(t["vec"], dim).astype(np.float64)
@@ -194,10 +213,11 @@ def _scan(q: Quantiser, dim: int, least: float, slack: float, pairs: bool):
                 continue
             codes = np.frombuffer(b"".join(raw.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
             base, hits = vecs[own], []
+            floor, step = floors(base, q.decoded(int(c), codes), least), max(1, (1 << 22) // dim)
             for lo in range(0, len(here), 512):
                 asked = here[lo : lo + 512]
-                r, n = np.nonzero(q.products(vecs[asked], int(c), codes) >= least - slack)
-                exact = np.einsum("ij,ij->i", vecs[asked[r]], base[n])
+                r, n = np.nonzero(q.products(vecs[asked], int(c), codes) >= floor)
+                exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", vecs[asked[r[i : i + step]]], base[n[i : i + step]]) for i in range(0, len(r), step)]])
                 ok = (exact >= least - 1e-7) & (ids[asked[r]] != ids[own[n]])
                 hits.append(np.stack([ids[asked[r[ok]]], ids[own[n[ok]]]], 1))
             got = np.concatenate(hits)
@@ -216,27 +236,26 @@ def near_embeddings(
     subspaces: int = 16,
     codewords: int = 64,
     rounds: int = 4,
-    slack: float = 0.25,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
     """Groups of vectors joined by cosines of at least `least_cosine`: keeper_vec_id (lowest id), vec_ids (sorted, keeper included), n_vecs.
 
     Every vector is coded in its inverted list (residual to the coarse centre, `subspaces` codes) and is a query to the
-    `probes` nearest lists: table lookups estimate its product with the coded vectors there, and estimates of at least
-    `least_cosine - slack` are checked by the exact cosine. Each list hands on a spanning forest of its pairs, so that crowds of
+    `probes` nearest lists: table lookups estimate its product with the coded vectors there, and all estimates that a cosine of `least_cosine`
+    allows, given each coded vector's own error (see floors), are checked by the exact cosine. Each list hands on a spanning forest of its pairs, so that crowds of
     copies cost no more than their number. Quantisers are trained on all vectors.
 
     Which rows are left out is told at unit_vectors; zero vectors have no cosine. An empty table gives an empty
     result; equal vectors form one group; other columns are ignored.
     """
-    units, dim = unit_vectors(vectors, id_col, vec_col)
+    units, dim, subspaces = unit_vectors(vectors, id_col, vec_col, subspaces)
     units = cut(units)
     q = _trained(units, dim, per_list, subspaces, codewords, rounds)
     if q is None:
         return session(vectors).createDataFrame([], "keeper_vec_id bigint, vec_ids array<bigint>, n_vecs int")
     probed = units.mapInArrow(_probes(q, dim, probes), "cell bigint, vec_id bigint, vec binary, code binary")
-    roots = components(whole_partitions(probed, ["cell"], _scan(q, dim, least_cosine, slack, False), "a bigint, b bigint"))
+    roots = components(whole_partitions(probed, ["cell"], _scan(q, dim, least_cosine, False), "a bigint, b bigint"))
     groups = roots.groupBy(F.col("root").alias("keeper_vec_id")).agg(F.array_sort(F.collect_list("node")).alias("vec_ids"))
     return groups.withColumn("n_vecs", F.size("vec_ids"))
 
@@ -245,17 +264,15 @@ def _trained(units: DataFrame, dim: int, per_list: int, subspaces: int, codeword
     n = units.count()
     if not n:
         return None
-    while dim % subspaces:
-        subspaces -= 1
     return train(units, dim, n, per_list, subspaces, min(codewords, n, 256), rounds)
 
 
-def near_pairs(vectors: DataFrame, least_cosine: float = 0.9, per_list: int = 512, probes: int = 16, subspaces: int = 16, codewords: int = 64, rounds: int = 4, slack: float = 0.25, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_pairs(vectors: DataFrame, least_cosine: float = 0.9, per_list: int = 512, probes: int = 16, subspaces: int = 16, codewords: int = 64, rounds: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The pairs (a > b) themselves, for audits of recall."""
-    units, dim = unit_vectors(vectors, id_col, vec_col)
+    units, dim, subspaces = unit_vectors(vectors, id_col, vec_col, subspaces)
     units = cut(units)
     q = _trained(units, dim, per_list, subspaces, codewords, rounds)
     if q is None:
         return session(vectors).createDataFrame([], "a bigint, b bigint")
     probed = units.mapInArrow(_probes(q, dim, probes), "cell bigint, vec_id bigint, vec binary, code binary")
-    return whole_partitions(probed, ["cell"], _scan(q, dim, least_cosine, slack, True), "a bigint, b bigint").distinct()
+    return whole_partitions(probed, ["cell"], _scan(q, dim, least_cosine, True), "a bigint, b bigint").distinct()

@@ -1,6 +1,7 @@
 """Groups and pairs of embeddings against all cosines; edge cases."""
 
 import numpy as np
+import pytest
 
 from lexsieve.llm.embedding_dedup import near_embeddings, near_pairs
 
@@ -46,3 +47,16 @@ def test_edge_cases(spark):
     got = {r.keeper_vec_id: (r.vec_ids, r.n_vecs) for r in near_embeddings(df, per_list=8, probes=4).collect()}
     assert got == {7: ([7, 8], 2), 20: (list(range(20, 70)), 50)}
     assert near_embeddings(df.filter("vec_id < 6")).count() == 0
+
+
+@pytest.mark.parametrize("dim", [67, 128, 384])
+def test_long_vectors_and_lengths_that_do_not_divide(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(1000, dim))
+    x[700:850] = x[:150]
+    x[850:] = x[150:300] + 0.3 * rng.normal(size=(150, dim))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.tril(unit @ unit.T >= 0.9, -1)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r.a, r.b) for r in near_pairs(df, per_list=64, probes=8).collect()}
+    assert len(exact) >= 290 and got <= exact and {(700 + i, i) for i in range(150)} <= got and len(got) >= 0.97 * len(exact)
