@@ -55,7 +55,10 @@ def _extend(min_words: int):
 
 
 def substring_repeats(docs: DataFrame, min_words: int = 50, seed_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every passage of at least `min_words` words that occurs again, against its earliest occurrence.
+    """Repeats of at least `min_words` words against the earliest occurrence, which cover every window of so many words that occurred earlier.
+
+    Repeats between later documents are not listed by themselves: where an earlier document holds only a part of what two later ones share, the
+    last gets pieces against both and not the whole passage against the second.
 
     Documents are joined on winnowed anchors (each window of `min_words` words keeps its least `seed_words`-gram).
     In each anchor's group, a window is paired with the earliest place, by document and position, that has the same words,
