@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, session, texts
-from .words import U, mix, slabs
+from .common import cut, session, texts, whole_partitions
+from .words import U, mix, slab_bounds, slabs
 
-ENCODED = "doc_id bigint, symbols binary"
+ENCODED = "bucket bigint, doc_id bigint, symbols binary, rare binary"
 SCORED = "doc_id bigint, n_words int, log_likelihood double, per_word double"
-#: Words of a training sequence; a longer text is several, each later one starting from the stationary state.
+#: Words that are worked on in step; the messages between the segments of a longer text are exact, see boundaries().
 SEGMENT = 256
+#: Words of a bucket of documents that a task holds at once when scoring.
+BUCKET = 1 << 21
 _ROWS = 512
 
 
 class Vocabulary:
-    """Symbols of words: the commonest have their own, all others share hashed classes.
+    """Symbols of words while training: the commonest have their own, all others share hashed classes until score() unties them."""
 
-    Within a class every distinct word of the corpus is equally likely, so that probabilities of words sum to one over the
-    corpus vocabulary.
-    """
-
-    def __init__(self, words: np.ndarray, class_sizes: np.ndarray):
-        self.words = np.sort(words.astype(U))
-        self.classes = len(class_sizes)
-        self.size = len(self.words) + self.classes
-        self.penalty = np.concatenate([np.zeros(len(self.words)), np.log(np.maximum(1, class_sizes))])
+    def __init__(self, words: np.ndarray, classes: int):
+        self.words, self.classes = np.sort(words.astype(U)), classes
+        self.size = len(self.words) + classes
 
     def encode(self, words: np.ndarray) -> np.ndarray:
         rare = len(self.words) + (mix(words) % U(self.classes)).astype(np.int64)
@@ -78,34 +75,35 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(rows: DataFrame, common: int, classes: int) -> Vocabulary:
-    """Counts every word of the corpus; the `common` most frequent (of equals the least hash) get symbols of their own."""
-    counts = cut(rows.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    """Counts every word of the corpus; the `common` most frequent (of equals the least hash) get symbols of their own in training."""
+    counts = rows.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(common).toArrow()
-    words = top["word"].to_numpy().astype(np.int64).view(U) if top.num_rows else np.zeros(0, U)
+    return Vocabulary(top["word"].to_numpy().astype(np.int64).view(U) if top.num_rows else np.zeros(0, U), classes)
 
-    def class_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = np.sort(words)
-        n = np.zeros(classes, np.int64)
-        for batch in batches:
-            w = batch.column(0).to_numpy().view(U)
-            at = np.minimum(np.searchsorted(named, w), max(0, len(named) - 1))
-            n += np.bincount((mix(w[named[at] != w] if len(named) else w) % U(classes)).astype(np.int64), minlength=classes)
-        yield pa.record_batch([pa.array(np.arange(classes)), pa.array(n)], names=["class", "n"])
 
-    sizes = np.zeros(classes, np.int64)
-    for r in counts.select("word").mapInArrow(class_of, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        sizes[r["class"]] = r["n"]
-    return Vocabulary(words, sizes)
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Slices of values between offsets, as bytes."""
+    size = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _encode(vocab: Vocabulary):
+    """Symbols of each text, and the hashes of its words that have no symbol of their own; buckets are runs of documents of about BUCKET words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for s in slabs(batch.column(1)):
                 symbols = vocab.encode(s.words)
+                rare = symbols >= len(vocab.words)
                 rows = len(s.offsets) - 1
-                body = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((s.offsets * 2).astype(np.int32)), pa.py_buffer(symbols)])
-                yield pa.record_batch([batch.column(0).slice(s.row, rows), body], names=["doc_id", "symbols"])
+                yield pa.record_batch(
+                    [pa.array(np.full(rows, bucket)), batch.column(0).slice(s.row, rows), _binary(symbols, s.offsets), _binary(s.words[rare], np.append(0, np.cumsum(rare))[s.offsets])],
+                    names=["bucket", "doc_id", "symbols", "rare"],
+                )
+                held += len(s.words)
+                if held >= BUCKET:
+                    bucket, held = bucket + 1, 0
 
     return run
 
@@ -115,13 +113,8 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
-
-    @property
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
+        self.peak = emit.max(1)
+        self.relative = (emit / self.peak[:, None]).astype(np.float32)
 
     @classmethod
     def initial(cls, states: int, frequency: np.ndarray, seed: int) -> Model:
@@ -135,15 +128,25 @@ class Model:
         return cls(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+def flattened(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column one after another, and where each row begins."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    cuts = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
-    flat = np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]].view(np.uint16) if raw is not None and cuts[-1] > cuts[0] else np.zeros(0, np.uint16)
-    return flat, (cuts - cuts[0]) // 2
+    flat = np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]].view(kind) if raw is not None and cuts[-1] > cuts[0] else np.zeros(0, kind)
+    return flat, (cuts - cuts[0]) // np.dtype(kind).itemsize
 
 
-def forward(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Exact log likelihood of each sequence flat[first : first + length], by the scaled forward recursion, all in step."""
+def forward(model: Model, chance: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Exact log likelihood of each sequence, by the scaled forward recursion, all in step.
+
+    chance: of each word under each state; the words of a sequence are first .. first + length.
+    """
     out = np.zeros(len(first))
     order = np.argsort(-length, kind="stable")
     begin, size = first[order], length[order]
@@ -152,7 +155,7 @@ def forward(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarra
     alpha = np.broadcast_to(model.start, (live, len(model.start)))
     for t in range(int(size[0]) if live else 0):
         now = int(np.searchsorted(-size, -t, "left"))
-        alpha = (alpha[:now] if t == 0 else alpha[:now] @ model.move) * model.emit[flat[begin[:now] + t]]
+        alpha = (alpha[:now] if t == 0 else alpha[:now] @ model.move) * chance[begin[:now] + t]
         scale = alpha.sum(1)
         total[:now] += np.log(scale)
         alpha = alpha / scale[:, None]
@@ -160,71 +163,156 @@ def forward(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarra
     return out
 
 
-def expected(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch statistics of sequences sorted by falling length: starts, moves, emissions, log likelihood.
-
-    opening: whether the sequence starts a text; the others start from the stationary distribution and don't count as starts.
-    """
-    states, steps = len(model.start), int(length[0])
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]
-    alpha = np.zeros((steps, len(first), states))
-    scale = np.ones((steps, len(first)))
-    seen = np.zeros((steps, len(first)), np.int64)
-    now = np.where(opening[:, None], model.start, model.stationary)
-    for t, n in enumerate(live):
-        seen[t, :n] = flat[first[:n] + t]
-        now = (now[:n] if t == 0 else now[:n] @ model.move) * model.emit[seen[t, :n]]
-        scale[t, :n] = now.sum(1)
-        now = now / scale[t, :n, None]
-        alpha[t, :n] = now
-    moves = np.zeros_like(model.move)
-    beta = np.ones((len(first), states))
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if t + 1 < steps:
-            m = live[t + 1]
-            ahead = model.emit[seen[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-            moves += alpha[t, :m].T @ ahead
-            beta[:m] = ahead @ model.move.T
-        alpha[t, :n] *= beta[:n]
-    flags = np.arange(len(first)) < np.array(live)[:, None]
-    at, gamma = seen[flags], alpha[flags]
-    emits = np.stack([np.bincount(at, gamma[:, s], minlength=len(model.emit)) for s in range(states)], 1)
-    return alpha[0][opening].sum(0), moves * model.move, emits, float(np.log(scale[flags]).sum())
-
-
-def segments(flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and whether it opens a text, of each training sequence, longest first."""
+def segments(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number within it, first word and length of each segment, in order."""
     size = np.diff(cuts)
     pieces = -(-size // SEGMENT)
     doc = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = cuts[doc] + nth * SEGMENT
-    length = np.minimum(SEGMENT, cuts[doc + 1] - first)
+    return doc, nth, first, np.minimum(SEGMENT, cuts[doc + 1] - first)
+
+
+def _live(length: np.ndarray) -> list[int]:
+    return np.searchsorted(-length, -np.arange(int(length[0])), "left").tolist()
+
+
+def _chances(model: Model, flat: np.ndarray, first: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of segments by step and segment, and their chances by step, state and segment, the likeliest state's being 1; beyond a segment's end they mean nothing."""
+    at = flat[np.minimum(first[None] + np.arange(steps)[:, None], len(flat) - 1)]
+    return at, np.ascontiguousarray(np.take(model.relative, at, axis=0).transpose(0, 2, 1))
+
+
+def products(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """For segments sorted by falling length: the chance, up to a factor, to go from each state before the segment to each at its end and emit its words.
+
+    An opening segment starts in its first state, without a move.
+    """
+    states, live = len(model.start), _live(length)
+    out = np.empty((len(first), states, states))
+    _, seen = _chances(model, flat, first, len(live))
+    to = model.move.T.astype(np.float32)
+    # state at the end, state before, segment
+    now = np.where(opening, np.eye(states, dtype=np.float32)[:, :, None], to[:, :, None]) * seen[0][:, None]
+    for t, n in enumerate(live[1:], 1):
+        if n < now.shape[2]:
+            out[n : now.shape[2]] = now[:, :, n:].transpose(2, 1, 0)
+            now = np.ascontiguousarray(now[:, :, :n])
+        now = (to @ now.reshape(states, -1)).reshape(states, states, n)
+        now *= seen[t, :, None, :n]
+        if t % 4 == 3:
+            now /= now.sum((0, 1))
+    out[: now.shape[2]] = now.transpose(2, 1, 0)
+    return out / out.sum((1, 2))[:, None, None]
+
+
+def boundaries(model: Model, flat: np.ndarray, doc: np.ndarray, nth: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each segment hears from the rest of its text: the states before it given all earlier words, and how likely each state at its end makes all later ones.
+
+    Both up to a factor; the segments of one text stand in order.
+    """
+    states = len(model.start)
+    before, after = np.empty((len(doc), states)), np.ones((len(doc), states))
+    before[nth == 0] = model.start
+    pieces = np.bincount(doc)[doc] if len(doc) else nth
+    many = np.flatnonzero(pieces > 1)
+    if not len(many):
+        return before, after
+    order = many[np.argsort(-length[many], kind="stable")]
+    through = np.empty((len(doc), states, states))
+    for lo in range(0, len(order), _ROWS):
+        at = order[lo : lo + _ROWS]
+        through[at] = products(model, flat, first[at], length[at], nth[at] == 0)
+    ranks = [many[nth[many] == j] for j in range(int(nth[many].max()) + 1)]
+    for at in ranks[1:]:
+        v = np.einsum("ns,nst->nt", before[at - 1], through[at - 1])
+        before[at] = v / v.sum(1, keepdims=True)
+    for at in ranks[:0:-1]:
+        v = np.einsum("nst,nt->ns", through[at], after[at])
+        after[at - 1] = v / v.sum(1, keepdims=True)
+    return before, after
+
+
+def _segment_counts(model: Model, flat: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """Of segments sorted by falling length: start and move counts, log likelihood, and by step, state and segment the chance of each state, 0 beyond an end."""
+    live = _live(length)
+    steps, rows = len(live), len(first)
+    at, ahead = _chances(model, flat, first, steps)  # becomes emissions over scales
+    alpha = np.zeros_like(ahead)
+    scale = np.ones((steps, rows), np.float32)
+    to, back = model.move.T.astype(np.float32), model.move.astype(np.float32)
+    heard = before.T.astype(np.float32)
+    now = np.where(opening, heard, to @ heard)
+    for t, n in enumerate(live):
+        if t:
+            now = to @ now[:, :n]
+        now *= ahead[t, :, :n]
+        total = np.sum(now, 0, out=scale[t, :n])
+        now /= total
+        alpha[t, :, :n] = now
+        ahead[t, :, :n] /= total
+    fit = float(np.log(scale).sum(dtype=np.float64))
+    beta = (after.T / np.einsum("ns,ns->n", alpha[length - 1, :, np.arange(rows)], after)).astype(np.float32)
+    moves = np.zeros(model.move.shape)
+    heard *= ~opening
+    for t in range(steps - 1, -1, -1):
+        n = live[t]
+        now = ahead[t, :, :n] * beta[:, :n]
+        alpha[t, :, :n] *= beta[:, :n]
+        moves += (alpha[t - 1, :, :n] if t else heard[:, :n]) @ now.T  # alpha of the step before is still plain
+        if t:
+            beta[:, :n] = back @ now
+    return alpha[0][:, opening].sum(1, dtype=np.float64), moves * model.move, fit, at, alpha
+
+
+def expected(model: Model, flat: np.ndarray, cuts: np.ndarray, tell: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Baum-Welch statistics of whole texts: starts, moves, log likelihood. tell() gets places of words in flat, the words, and by step, state and segment their chances of each state.
+
+    Texts are worked on in segments; by the messages of boundaries() that is the same as the recursion over each whole text.
+    """
+    doc, nth, first, length = segments(cuts)
+    starts, moves, fit = np.zeros(len(model.start)), np.zeros_like(model.move), float(np.log(model.peak)[flat].sum())
+    before, after = boundaries(model, flat, doc, nth, first, length)
     order = np.argsort(-length, kind="stable")
-    return first[order], length[order], (nth == 0)[order]
+    for lo in range(0, len(order), _ROWS):
+        at = order[lo : lo + _ROWS]
+        a, b, c, words, gamma = _segment_counts(model, flat, first[at], length[at], nth[at] == 0, before[at], after[at])
+        starts, moves, fit = starts + a, moves + b, fit + c
+        steps = np.arange(len(words))[:, None]
+        tell(np.where(steps < length[at], first[at] + steps, -1), words, gamma)
+    return starts, moves, fit
+
+
+def _batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Not more rows at a time than have about a megabyte of symbols; a longer text comes alone."""
+    for batch in batches:
+        if batch.num_rows:
+            _, cuts = flattened(batch.column("symbols"), np.uint16)
+            for lo, hi in slab_bounds(cuts, 1 << 19):
+                yield batch.slice(lo, hi - lo)
 
 
 def _expect(model: Model | None, symbols: int, states: int):
-    """Statistics of a partition: rows -2 (log likelihood, sequences), -1 (starts), 0.. (moves), then emissions by symbol. Without a model, symbol counts."""
+    """Statistics of a partition: rows -2 (log likelihood, texts), -1 (starts), 0.. (moves), then emissions by symbol. Without a model, symbol counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, moves, emits, fit, n = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, cuts = symbols_of(batch.column(1))
+        starts, moves, emits, fit, n = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0, 0
+        for batch in _batches_of_texts(batches):
+            flat, cuts = flattened(batch.column("symbols"), np.uint16)
             if model is None:
-                emits[:, 0] += np.bincount(flat, minlength=symbols)
+                emits[0] += np.bincount(flat, minlength=symbols)
                 continue
-            first, length, opening = segments(flat, cuts)
-            for lo in range(0, len(first), _ROWS):
-                part = slice(lo, lo + _ROWS)
-                a, b, c, d = expected(model, flat, first[part], length[part], opening[part])
-                starts, moves, emits, fit, n = starts + a, moves + b, emits + c, fit + d, n + len(length[part])
+
+            def tell(place: np.ndarray, words: np.ndarray, gamma: np.ndarray) -> None:
+                at = words.ravel()
+                for s in range(states):
+                    emits[s] += np.bincount(at, gamma[:, s].ravel(), minlength=symbols)
+
+            a, b, c = expected(model, flat, cuts, tell)
+            starts, moves, fit, n = starts + a, moves + b, fit + c, n + batch.num_rows
         head = np.zeros((2, states))
         head[0, :1], head[0, 1:2], head[1] = fit, n, starts
-        rows = np.concatenate([head, moves, emits])
+        rows = np.concatenate([head, moves, emits.T])
         some = np.flatnonzero(rows.any(1))
         yield pa.record_batch([pa.array(some - 2), *[pa.array(rows[some, s]) for s in range(states)]], names=["at", *[f"s{s}" for s in range(states)]])
 
@@ -233,7 +321,7 @@ def _expect(model: Model | None, symbols: int, states: int):
 
 def _totals(encoded: DataFrame, model: Model | None, symbols: int, states: int) -> np.ndarray:
     cols = [f"s{s}" for s in range(states)]
-    part = encoded.mapInArrow(_expect(model, symbols, states), "at bigint, " + ", ".join(f"{c} double" for c in cols))
+    part = encoded.select("symbols").mapInArrow(_expect(model, symbols, states), "at bigint, " + ", ".join(f"{c} double" for c in cols))
     got = part.groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
     out = np.zeros((2 + states + symbols, states))
     if got.num_rows:
@@ -241,54 +329,145 @@ def _totals(encoded: DataFrame, model: Model | None, symbols: int, states: int)
     return out
 
 
-def train(encoded: DataFrame, vocab: Vocabulary, states: int, rounds: int | None, smooth: float, seed: int, tolerance: float = 1e-3) -> Model:
+def train(encoded: DataFrame, symbols: int, states: int, rounds: int | None, smooth: float, seed: int, tolerance: float = 1e-3, head: int = 8) -> tuple[Model, Model, np.ndarray, list[float]]:
     """Baum-Welch over all texts until a round raises the log likelihood a word by less than `tolerance`; rounds, if given, is the most.
 
-    Each round's counts are added up across partitions. smooth is added to every count.
+    The start is found by the same rounds over one text in `head` (by hashed id); what is returned has been fitted to all texts. Each round's
+    counts are added up across partitions; smooth is added to every count. Returns the model, that of the round before, the emission counts that led from this to that, and the
+    log likelihood a word of every round over all texts.
     """
-    counts = _totals(encoded, None, vocab.size, states)[2 + states :, 0] + smooth
+    counts = _totals(encoded, None, symbols, states)[2 + states :, 0] + smooth
     model = Model.initial(states, counts / counts.sum(), seed)
-    before = -np.inf
-    for _ in count() if rounds is None else range(rounds):
-        total = _totals(encoded, model, vocab.size, states)
-        start, move, emit = total[1] + smooth, total[2 : 2 + states] + smooth, total[2 + states :] + smooth / vocab.size
-        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-        fit = total[0, 0] / max(1.0, total[2 + states :].sum())
-        if fit - before < tolerance:
-            break
-        before = fit
-    return model
-
-
-def _score(model: Model, penalty: np.ndarray):
+    fits: list[float] = []
+    for part in [encoded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(head)) == 0)] * (head > 1) + [encoded]:
+        fits.clear()
+        for _ in count() if rounds is None else range(rounds):
+            total = _totals(part, model, symbols, states)
+            words = total[2 + states :].sum()
+            if not words:
+                break
+            start, move, emit = total[1] + smooth, total[2 : 2 + states] + smooth, total[2 + states :] + smooth / symbols
+            old, model = model, Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+            fits.append(total[0, 0] / words)
+            if len(fits) > 1 and fits[-1] - fits[-2] < tolerance:
+                break
+    return (model, old, total[2 + states :], fits) if fits else (model, model, np.zeros((symbols, states)), fits)
+
+
+def _rare_states(model: Model, named: int):
+    """For each bucket and each of its words without a symbol of its own: the expected number of times in each state."""
+    states = len(model.start)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, cuts = symbols_of(batch.column(1))
-            n = np.diff(cuts)
-            value = forward(model, flat, cuts[:-1], n)
-            spent = np.append(0.0, np.cumsum(penalty[flat]))
-            value = value - (spent[cuts[1:]] - spent[cuts[:-1]])
-            yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int32)), pa.array(value), pa.array(value / np.maximum(1, n), mask=n == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        bucket = None
+
+        def out() -> pa.RecordBatch:
+            word = np.concatenate([w for w, _ in held])
+            order = np.argsort(word)
+            word = word[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+            gamma = np.add.reduceat(np.concatenate([g for _, g in held])[order], first, axis=0) if len(first) else np.zeros((0, states), np.float32)
+            return pa.record_batch([pa.array(np.full(len(first), bucket, np.int64)), pa.array(word[first].view(np.int64)), _binary(gamma, np.arange(len(first) + 1) * states)], names=["bucket", "word", "states"])
+
+        for batch in _batches_of_texts(batches):
+            flat, cuts = flattened(batch.column("symbols"), np.uint16)
+            which = batch.column("bucket").to_numpy()
+            gammas = np.zeros((len(flat), states), np.float32)
+
+            def tell(place: np.ndarray, words: np.ndarray, gamma: np.ndarray, gammas: np.ndarray = gammas) -> None:
+                some = (place >= 0) & (words >= named)
+                gammas[place[some]] = gamma.transpose(0, 2, 1)[some]
+
+            expected(model, flat, cuts, tell)
+            gammas = gammas[flat >= named]
+            words, at = flattened(batch.column("rare"), U)
+            edges = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
+            for a, z in pairwise(edges.tolist()):
+                if which[a] != bucket:
+                    if held:
+                        yield out()
+                    held, bucket = [], int(which[a])
+                held.append((words[at[a] : at[z]], gammas[at[a] : at[z]]))
+        if held:
+            yield out()
 
     return run
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int | None = None, common: int = 8000, classes: int = 192, smooth: float = 0.01, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1e-3) -> DataFrame:
+def _untied(total: np.ndarray, named: int, prior: float):
+    """The chance of each word within its class, for each state: its expected counts over all buckets, the class's count shares worth `prior` words added."""
+    states = total.shape[1]
+
+    def make(t: pa.Table) -> pa.Table:
+        gamma = flattened(t["states"], np.float32)[0].reshape(-1, states).astype(np.float64)
+        word = t["word"].to_numpy().view(U)
+        order = np.argsort(word, kind="stable")
+        sorted_ = word[order]
+        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(word)])
+        sums = np.add.reduceat(gamma[order], first, axis=0)
+        of = total[named + (mix(sorted_[first]) % U(len(total) - named)).astype(np.int64)]
+        share = (sums + prior * (sums.sum(1) / np.maximum(of.sum(1), 1e-12))[:, None]) / (of + prior)
+        back = np.empty(len(word), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        return pa.table({"bucket": t["bucket"], "word": t["word"], "states": _binary(share.astype(np.float32)[back], np.arange(len(word) + 1) * states)})
+
+    return make
+
+
+def _score(model: Model, named: int):
+    states = len(model.start)
+
+    def make(texts_: pa.Table, words: pa.Table) -> pa.Table:
+        flat, cuts = flattened(texts_["symbols"], np.uint16)
+        rare, _ = flattened(texts_["rare"], U)
+        chance = model.emit[flat]
+        if len(rare):
+            word = words["word"].to_numpy().view(U)
+            order = np.argsort(word)
+            share = flattened(words["states"], np.float32)[0].reshape(-1, states)
+            chance[flat >= named] *= share[order[np.searchsorted(word[order], rare)]]
+        n = np.diff(cuts)
+        value = forward(model, chance, cuts[:-1], n)
+        return pa.table({"doc_id": texts_["doc_id"], "n_words": pa.array(n.astype(np.int32)), "log_likelihood": pa.array(value), "per_word": pa.array(value / np.maximum(1, n), mask=n == 0)})
+
+    return make
+
+
+def score(
+    docs: DataFrame,
+    states: int = 8,
+    rounds: int | None = None,
+    common: int = 8000,
+    classes: int = 192,
+    smooth: float = 0.01,
+    prior: float = 1.0,
+    seed: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tolerance: float = 1e-3,
+    head: int = 8,
+) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural log), per_word: how likely each document is under a hidden Markov model of the corpus.
 
-    The corpus vocabulary is counted; Baum-Welch over all texts trains `states` latent states until a round raises the log likelihood
-    a word by less than `tolerance` (nats), or for at most `rounds` rounds if given; the scaled forward recursion gives the exact likelihood of the whole sequence of words (see words.py).
-    Rare words are emitted through `classes` hashed classes, evenly among the distinct words of the class.
+    Baum-Welch over all whole texts trains `states` latent states until a round raises the log likelihood a word by less than `tolerance`
+    (nats), or for at most `rounds` rounds if given (see train() for its start); the scaled forward recursion gives the exact likelihood of the
+    whole sequence of words (see words.py), whatever its length. While the states are trained, all but the `common` most frequent words share `classes` hashed classes. The last
+    round unties them: every word of the corpus gets emission chances of its own from its own expected counts (see _untied), kept as a table
+    that grows with the corpus and is joined to the documents in buckets. For each state these chances sum to one over the corpus's words.
 
     A null id leaves the row out; a null or empty text and one without words has likelihood 1 (log 0) and no per_word;
-    rows that share an id count once, see common.texts; an empty table gives an empty result; other columns are ignored.
+    rows that share an id count once, see common.texts; words equally frequent at the border of `common` go by the lowest hash; an empty table gives an empty result; other
+    columns are ignored.
     """
     if common + classes > 1 << 16:
         raise ValueError("there are at most 65536 symbols")
     session(docs)
     rows = texts(docs, id_col, text_col)
     vocab = vocabulary(rows, common, classes)
+    named = len(vocab.words)
     encoded = cut(rows.mapInArrow(_encode(vocab), ENCODED))
-    return encoded.mapInArrow(_score(train(encoded, vocab, states, rounds, smooth, seed, tolerance), vocab.penalty), SCORED)
+    model, old, total, _ = train(encoded, vocab.size, states, rounds, smooth, seed, tolerance, head)
+    kind = "bucket bigint, word bigint, states binary"
+    words = whole_partitions(encoded.mapInArrow(_rare_states(old, named), kind), ["word"], _untied(total, named, prior), kind)
+    return encoded.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_score(model, named), SCORED)
