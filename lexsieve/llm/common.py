@@ -55,12 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string), one row per id.
 
-    Rows with a null id are left out and a null text counts as empty. Of rows that share an id, the one
+    Rows whose id is null or no integer are left out and a null text counts as empty. Of rows that share an id, the one
     whose text hashes lowest stands for all. Other columns are not looked at, whatever their names.
     """
     session(docs)
     rows = docs.select(
-        docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
+        docs[id_col].try_cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     ).filter("doc_id is not null")
     twice = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
@@ -71,9 +71,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def whole_partitions(
-    df: DataFrame, keys: list[str | Column], make: Callable[[pa.Table], Iterator[pa.RecordBatch] | pa.Table], schema: str, parts: int | None = None
+    df: DataFrame, keys: list[str | Column], make: Callable[[pa.Table], Iterator[pa.RecordBatch] | pa.Table], schema: str, parts: int | None = None, numbered: bool = False
 ) -> DataFrame:
-    """Bring rows of equal keys together and pass each partition, whole, to make()."""
+    """Bring rows of equal keys together and pass each partition, whole, to make(). numbered: the only key is the number of the partition."""
     session(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,10 @@ def whole_partitions(
         out = make(pa.Table.from_batches(held))
         yield from out.to_batches(max_chunksize=20_000) if isinstance(out, pa.Table) else out
 
-    spread = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    if numbered:
+        spread = df.repartitionById(parts, keys[0])
+    else:
+        spread = df.repartition(parts, *keys) if parts else df.repartition(*keys)
     return spread.mapInArrow(run, schema)
 
 
@@ -91,7 +94,7 @@ def keep_columns(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_i
     """docs restricted by ids(doc_id) with its own columns, names and order."""
     key = "__lexsieve_id"
     right = ids.select(F.col("doc_id").alias(key))
-    return docs.join(right, docs[id_col].cast("bigint") == right[key], how)
+    return docs.join(right, docs[id_col].try_cast("bigint") == right[key], how)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

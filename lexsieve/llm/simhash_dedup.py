@@ -13,7 +13,8 @@ from .common import components, cut, keep_columns, one_row_per_id, session, text
 from .small_world import SmallWorld
 from .words import U, Slab, mix, slabs
 
-CODE = "doc_id bigint, hi bigint, lo bigint"
+CODE = "doc_id bigint, hi bigint, lo bigint, words bigint, n_words int"
+GRAPH = "shard int, beam int, nodes binary, codes binary, links binary"
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8).view(U).ravel()
 _KEY_BITS = 44
 
@@ -52,133 +53,114 @@ def simhash(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SimHash of each text's distinct words, a hash of all of them, and their number."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for s in slabs(batch.column(1)):
             words, offsets = word_sets(s)
-            some = np.flatnonzero(np.diff(offsets))
+            n = np.diff(offsets)
+            some = np.flatnonzero(n)
             code = simhash(words, offsets)[some].view(np.int64)
-            yield pa.record_batch([pa.array(ids[s.row + some]), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy())], names=["doc_id", "hi", "lo"])
+            whole = np.add.reduceat(mix(words ^ U(0x9E3779B97F4A7C15)), offsets[some]).view(np.int64) if len(some) else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(ids[s.row + some]), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), pa.array(whole), pa.array(n[some].astype(np.int32))], names=["doc_id", "hi", "lo", "words", "n_words"])
 
 
-def _search(radius: int, beam: int, recall: float, audit: int):
-    def make(t: pa.Table) -> pa.Table:
-        shard, home, node = (t[c].to_numpy() for c in ("shard", "home", "node"))
+def _graphs(radius: int, beam: int, recall: float, audit: int):
+    """The graph of each shard, and the beam that an audit of its own codes against exact search asks for."""
+
+    def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard, node = t["shard"].to_numpy(), t["node"].to_numpy()
         codes = np.stack([t["hi"].to_numpy(), t["lo"].to_numpy()], 1).view(U)
-        out = []
         for s in np.unique(shard):
-            here = np.flatnonzero(shard == s)
-            own = here[home[here] == s]
-            if not len(own):
-                continue
+            own = np.flatnonzero(shard == s)
             own = own[np.argsort(mix(node[own].astype(U)), kind="stable")]
             graph = SmallWorld(codes[own])
-            at = np.full(len(shard), -1)
-            at[own] = np.arange(len(own))
-            tried = here[np.argsort(mix(node[here].astype(U) ^ U(0x51)), kind="stable")[:audit]]
-            wide = graph.audited_beam(codes[tried], at[tried], radius, beam, recall)
-            for lo in range(0, len(here), 1 << 16):
-                mine = here[lo : lo + (1 << 16)]
-                q, n = graph.within(codes[mine], radius, wide)
-                a, b = node[mine[q]], node[own[n]]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-                out.append(pair)
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0].copy(), pa.int64()), "b": pa.array(pairs[:, 1].copy(), pa.int64())})
+            tried = np.argsort(mix(node[own].astype(U) ^ U(0x51)), kind="stable")[:audit]
+            wide = graph.audited_beam(graph.codes[tried], tried, radius, beam, recall)
+            yield pa.record_batch(
+                [pa.array([s], pa.int32()), pa.array([wide], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (node[own], graph.codes, graph.links)]], names=["shard", "beam", "nodes", "codes", "links"]
+            )
+
+    return make
+
+
+def _search(radius: int):
+    """Pairs within radius of a block of codes and a shard's graph. The row of the graph has no node."""
+
+    def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = t["shard"].to_numpy().astype(np.int64) << 32 | t["block"].to_numpy()
+        drawn = t["codes"].is_valid().to_numpy(zero_copy_only=False)
+        for k in np.unique(key):
+            row = np.flatnonzero((key == k) & drawn)
+            if not len(row):
+                continue
+            here = t.take(pa.array(np.flatnonzero((key == k) & ~drawn)))
+            own = np.frombuffer(t["nodes"][int(row[0])].as_py(), np.int64)
+            graph = SmallWorld.of_parts(np.frombuffer(t["codes"][int(row[0])].as_py(), U).reshape(-1, 2), np.frombuffer(t["links"][int(row[0])].as_py(), np.int32).reshape(len(own), -1))
+            node, codes = here["node"].to_numpy(), np.stack([here["hi"].to_numpy(), here["lo"].to_numpy()], 1).view(U)
+            for lo in range(0, len(node), 1 << 14):
+                q, n = graph.within(codes[lo : lo + (1 << 14)], radius, int(t["beam"][int(row[0])].as_py()))
+                a, b = node[lo + q], own[n]
+                pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
+                yield pa.record_batch([pa.array(pair[:, 0].copy(), pa.int64()), pa.array(pair[:, 1].copy(), pa.int64())], names=["a", "b"])
 
     return make
 
 
-def near_codes(codes: DataFrame, radius: int, shards: int, beam: int, recall: float, audit: int) -> DataFrame:
-    """Pairs (a < b) of nodes whose codes are within radius. codes: node, hi, lo with distinct codes.
+def near_codes(codes: DataFrame, radius: int, shards: int, beam: int, recall: float, audit: int, blocks: int = 8) -> DataFrame:
+    """Pairs (a > b) of nodes whose codes are within radius, some more than once. codes: node, hi, lo with distinct codes.
 
     Each shard's codes form one graph, and the codes are sent to their own shard and to the next half of the ring, so
-    that any two shards meet once (those half a ring apart twice).
+    that any two shards meet once (those half a ring apart twice). What comes to a shard is searched in `blocks` tasks, each with a copy of its graph.
     """
     home = F.pmod(F.xxhash64("hi", "lo"), F.lit(shards)).cast("int")
-    sent = codes.select("node", "hi", "lo", home.alias("home")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(shards // 2))))
-    sent = sent.select("node", "hi", "lo", "home", F.pmod(F.col("home") + F.col("step"), F.lit(shards)).alias("shard"))
-    return whole_partitions(sent, ["shard"], _search(radius, beam, recall, audit), "a bigint, b bigint", parts=shards * 3)
+    here = codes.select("node", "hi", "lo", home.alias("shard"))
+    graphs = cut(whole_partitions(here, [F.col("shard")], _graphs(radius, beam, recall, audit), GRAPH, parts=shards, numbered=True))
+    block = F.pmod(F.xxhash64("lo", "hi", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    step = F.explode(F.sequence(F.lit(0), F.lit(shards // 2)))
+    sent = here.withColumn("step", step).select(F.pmod(F.col("shard") + F.col("step"), F.lit(shards)).cast("int").alias("shard"), block, "node", "hi", "lo")
+    drawn = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = sent.unionByName(drawn, allowMissingColumns=True)
+    return whole_partitions(both, [F.col("shard") * blocks + F.col("block")], _search(radius), "a bigint, b bigint", parts=shards * blocks, numbered=True)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in slabs(batch.column("text")):
+        for s in slabs(batch.column(1)):
             words, offsets = word_sets(s)
             rows = len(offsets) - 1
-            part = batch.slice(s.row, rows)
             body = [words[offsets[i] : offsets[i + 1]].tobytes() for i in range(rows)]
-            yield pa.record_batch([part.column("comp"), part.column("doc_id"), part.column("node"), pa.array(body, pa.binary()), pa.nulls(rows, pa.int64())], names=["comp", "doc_id", "node", "words", "other"])
+            yield pa.record_batch([batch.column(0).slice(s.row, rows), pa.array(body, pa.binary())], names=["doc_id", "words"])
+
+
+def common_words(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many numbers each a[i] and b[i] share: sets of different numbers under 2**44, as bytes."""
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 4096):
+        parts = [x[lo : lo + 4096] for x in (a, b)]
+        pair = np.concatenate([np.repeat(np.arange(len(x), dtype=U), [len(y) // 8 for y in x]) for x in parts])
+        key = np.sort((pair << U(_KEY_BITS)) | np.frombuffer(b"".join([*parts[0], *parts[1]]), U))
+        twin = key[1:][key[1:] == key[:-1]]
+        out[lo : lo + 4096] = np.bincount((twin >> U(_KEY_BITS)).astype(np.int64), minlength=len(parts[0]))
+    return out
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common / max(1, len(both) - common)
+def _close(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            both = common_words(x, y)
+            size = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64) // 8
+            yield batch.select(["a", "b"]).filter(pa.array(both >= least * np.maximum(1, size - both)))
 
+    return run
 
-def verified_groups(members: list[tuple[int, int, bytes]], edges: list[tuple[int, int]], least: float) -> list[list[int]]:
-    """Groups of documents joined by verified pairs, each sorted.
 
-    members: (doc_id, node, sorted distinct words). Under a node, a document joins the first leader that it is close enough to, or
-    leads itself; an edge joins the leaders of its two nodes that are close enough.
-    """
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sets: dict[int, np.ndarray] = {}
-    leaders: dict[int, list[int]] = {}
-    same: dict[tuple[int, bytes], int] = {}
-
-    def close(x: int, y: int) -> bool:
-        a, b = sets[x], sets[y]
-        return min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least
-
-    for doc, node, body in sorted(members):
-        parent[doc] = doc
-        twin = same.setdefault((node, body), doc)
-        if twin != doc:
-            parent[doc] = find(twin)
-            continue
-        sets[doc] = np.frombuffer(body, U)
-        for lead in leaders.setdefault(node, []):
-            if close(lead, doc):
-                parent[doc] = find(lead)
-                break
-        else:
-            leaders[node].append(doc)
-    for a, b in sorted(edges):
-        for x in leaders.get(a, ()):
-            for y in leaders.get(b, ()):
-                if find(x) != find(y) and close(x, y):
-                    lo, hi = sorted((find(x), find(y)))
-                    parent[hi] = lo
-    groups: dict[int, list[int]] = {}
-    for doc in parent:
-        groups.setdefault(find(doc), []).append(doc)
-    return [sorted(g) for g in groups.values() if len(g) > 1]
-
-
-def _verify(least: float):
-    def make(t: pa.Table) -> pa.Table:
-        comp, doc, node, other = (t[c].to_pylist() for c in ("comp", "doc_id", "node", "other"))
-        words = t["words"].to_pylist()
-        members: dict[int, list] = {}
-        edges: dict[int, list] = {}
-        for i, c in enumerate(comp):
-            if other[i] is None:
-                members.setdefault(c, []).append((doc[i], node[i], words[i]))
-            else:
-                edges.setdefault(c, []).append((node[i], other[i]))
-        groups = [g for c, m in members.items() for g in verified_groups(m, edges.get(c, []), least)]
-        return pa.table({"keeper_doc_id": pa.array([g[0] for g in groups], pa.int64()), "doc_ids": pa.array(groups, pa.list_(pa.int64())), "n_docs": pa.array([len(g) for g in groups], pa.int32())})
-
-    return make
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of words, sets(doc_id, words), have a Jaccard similarity of at least `least`."""
+    first = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x"))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_close(least), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -196,27 +178,47 @@ def near_duplicates(
 
     The 128-bit SimHash of a document's distinct words is searched within `radius` bits in a small-world graph
     for each shard of the codes; beams widen while they are half full of hits, and for each shard start as wide as an audit
-    of `audit` queries against exact search asks for `recall`. Every document is a query. Candidate pairs, and documents of
-    one code, are verified by the Jaccard similarity of their word sets (`least_jaccard`) before they are joined into groups.
+    of `audit` queries against exact search asks for `recall`. Every code is a query. Candidate pairs are verified by the
+    Jaccard similarity of their word sets (`least_jaccard`) before they are joined into groups.
+
+    Documents with the same set of words are one throughout. Of those with one code, the lowest id stands for all whose sets are close enough to its own; the
+    others stand for themselves. First each is compared to its candidate of the lowest id; a pair whose two members are close to the same such candidate is in
+    one group already and needs no comparison, every other pair is compared.
 
-    A null id leaves the row out; a null text, an empty one and one without a word are in no group; rows that share an id
-    count once, see common.texts; identical texts form one group whatever their number; an empty table
-    gives an empty result; other columns are ignored.
+    A null id leaves the row out, and one that is no integer; a null text, an empty one and one without a word are in no group; rows that share an id
+    count once, see common.texts; identical texts form one group whatever their number; the whole of a long text counts; equal distances and equal ids of candidates don't
+    matter, as all pairs within `radius` count; an empty table gives an empty result; other columns are ignored.
     """
     rows = texts(docs, id_col, text_col)
     codes = cut(rows.mapInArrow(_codes, CODE))
-    nodes = codes.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
+    same = cut(codes.groupBy("hi", "lo", "words").agg(F.min("doc_id").alias("doc"), F.collect_list("doc_id").alias("ids"), F.first("n_words").alias("n")))
+    nodes = cut(same.groupBy("hi", "lo").agg(F.min("doc").alias("node"), F.count("*").alias("sets")))
     edges = cut(near_codes(nodes.select("node", "hi", "lo"), radius, shards, beam, recall, audit).distinct())
-    roots = components(edges)
-    of = codes.join(nodes, ["hi", "lo"]).join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("comp"))
-    crowd = of.groupBy("comp").count().filter("count > 1").select("comp")
-    of = of.join(crowd, "comp")
-    held = rows.join(of.hint("shuffle_hash"), "doc_id").select("comp", "doc_id", "node", "text")
-    item = "comp bigint, doc_id bigint, node bigint, words binary, other bigint"
-    docs_part = held.mapInArrow(_sets, item)
-    none = F.lit(None)
-    edge_part = edges.join(roots, edges["a"] == roots["node"]).select(F.col("root").alias("comp"), none.cast("bigint").alias("doc_id"), F.col("a").alias("node"), none.cast("binary").alias("words"), F.col("b").alias("other"))
-    return whole_partitions(docs_part.unionByName(edge_part), ["comp"], _verify(least_jaccard), "keeper_doc_id bigint, doc_ids array<bigint>, n_docs int")
+    # documents that share a code with one of a lower id
+    under = cut(same.join(nodes.filter("sets > 1"), ["hi", "lo"]).filter("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")))
+    needed = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).union(under.select(F.explode(F.array("a", "b")))).distinct()
+    sets = cut(rows.join(needed.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets, "doc_id bigint, words binary"))
+    like = cut(verified(under, sets, least_jaccard))
+    alone = cut(under.join(like, ["a", "b"], "left_anti").select(F.col("b").alias("node"), F.col("a").alias("doc")))
+    pairs = edges
+    if not alone.isEmpty():
+        every = alone.union(nodes.join(alone.select("node").distinct(), "node").select("node", F.col("node").alias("doc")))
+        x, y = every.select(F.col("node").alias("a"), F.col("doc").alias("x")), every.select(F.col("node").alias("b"), F.col("doc").alias("y"))
+        within = x.join(y, F.col("a") == F.col("b")).filter("x > y").select("x", "y")
+        across = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        pairs = cut(within.union(across).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    size = same.select(F.col("doc").alias("d"), "n")
+    least = F.lit(least_jaccard)
+    pairs = pairs.join(size.withColumnRenamed("n", "p"), F.col("a") == F.col("d")).drop("d").join(size.withColumnRenamed("n", "q"), F.col("b") == F.col("d")).drop("d")
+    pairs = cut(pairs.filter((F.col("p") >= least * F.col("q")) & (F.col("q") >= least * F.col("p"))).select("a", "b"))
+    lowest = cut(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, least_jaccard))
+    head = lowest.union(lowest.select("b", "b")).groupBy("a").agg(F.min("b").alias("head"))
+    left, right = head.select("a", F.col("head").alias("p")), head.select(F.col("a").alias("b"), F.col("head").alias("q"))
+    open_ = pairs.join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").filter("p is null or q is null or p <> q").select("a", "b")
+    roots = components(like.union(lowest).union(verified(open_, sets, least_jaccard)))
+    of = same.join(roots, same["doc"] == roots["node"], "left").select(F.coalesce("root", "doc").alias("keeper_doc_id"), "ids")
+    groups = of.groupBy("keeper_doc_id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("doc_ids"))
+    return groups.withColumn("n_docs", F.size("doc_ids")).filter("n_docs > 1")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

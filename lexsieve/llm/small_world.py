@@ -28,7 +28,7 @@ class SmallWorld:
         n = len(codes)
         self.links = np.full((n, out + back), -1, np.int32)
         self.size = 0
-        first = min(n, 512)
+        first = min(n, 64)
         if first:
             near = distance(self.codes[:first, None], self.codes[None, :first]).astype(np.int32)
             np.fill_diagonal(near, 1 << 20)
@@ -45,6 +45,13 @@ class SmallWorld:
             self.size = stop
             self._link_back(rows)
 
+    @classmethod
+    def of_parts(cls, codes: np.ndarray, links: np.ndarray) -> SmallWorld:
+        """The graph whose codes and links these are."""
+        graph = cls.__new__(cls)
+        graph.codes, graph.links, graph.size = codes, links, len(codes)
+        return graph
+
     def _link_back(self, rows: np.ndarray) -> None:
         target = self.links[rows, : self.out]
         source = np.broadcast_to(rows[:, None], target.shape)[target >= 0]
@@ -107,16 +114,16 @@ class SmallWorld:
         return ids, far
 
     def within(self, queries: np.ndarray, radius: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs within radius; a beam that is half full of hits is doubled, until it isn't or an exact scan is as cheap."""
-        rows, q_out, n_out = np.arange(len(queries)), [], []
-        while len(rows) and beam * 8 < self.size:
+        """(query, node) pairs within radius. Every query walks the graph; a beam that is half full of hits is doubled, until it isn't or an exact scan is as cheap."""
+        rows, q_out, n_out, walked = np.arange(len(queries)), [], [], False
+        while len(rows) and self.size and (not walked or beam * 8 < self.size):
             ids, far = self.search(queries[rows], beam, batch=max(64, 2048 * 32 // beam))
             hit = (far <= radius) & (ids >= 0)
             full = hit.sum(1) * 2 > beam
             r, c = np.nonzero(hit & ~full[:, None])
             q_out.append(rows[r])
             n_out.append(ids[r, c].astype(np.int64))
-            rows, beam = rows[full], beam * 2
+            rows, beam, walked = rows[full], beam * 2, True
         for lo in range(0, len(rows), 256):
             q, n = np.nonzero(distance(queries[rows[lo : lo + 256]][:, None], self.codes[None]) <= radius)
             q_out.append(rows[lo + q])

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from lexsieve.llm.simhash_dedup import drop_near_duplicates, near_duplicates, simhash, verified_groups, word_sets
+from lexsieve.llm.simhash_dedup import common_words, drop_near_duplicates, near_codes, near_duplicates, simhash, word_sets
 from lexsieve.llm.small_world import SmallWorld, distance
 from lexsieve.llm.words import U, slabs
 
@@ -106,8 +106,40 @@ def test_simhash_is_the_majority_of_bits():
     assert (np.unpackbits(simhash(words, offsets)[0].view(np.uint8)) == bits).all()
 
 
-def test_leaders_and_edges():
+def test_common_words():
     body = lambda *x: np.array(sorted(x), U).tobytes()
-    members = [(1, 1, body(1, 2, 3, 4)), (2, 1, body(1, 2, 3, 4)), (3, 1, body(9, 8, 7)), (4, 4, body(1, 2, 3, 4, 5))]
-    assert verified_groups(members, [(1, 4)], 0.7) == [[1, 2, 4]]
-    assert verified_groups(members, [], 0.7) == [[1, 2]]
+    assert common_words([body(1, 2, 3), body(), body(7)], [body(3, 1, 9, 8), body(4), body(7)]).tolist() == [2, 0, 1]
+
+
+def test_graphs_are_walked_and_find_the_pairs_of_exact_search(spark, monkeypatch):
+    """Three shards of some 800 codes, none of them scanned: exact search is forbidden but in the audit."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, (1600, 2)).astype(U)
+    near = base[:800] ^ (U(1) << rng.integers(0, 62, (800, 2)).astype(U))
+    codes = np.unique(np.concatenate([base, near]), axis=0)
+    assert len(codes) >= 2400 - 10
+    rows = [(i, *c) for i, c in enumerate(codes.view(np.int64).tolist())]
+    found = [(r.a, r.b) for r in near_codes(spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint"), 24, 3, 32, 0.95, 256).collect()]
+    exact = {(a, int(b)) for a in range(len(codes)) for b in np.flatnonzero(distance(codes[a][None], codes) <= 24) if b < a}
+    assert set(found) <= exact and len(set(found)) >= 0.95 * len(exact) >= 700
+
+
+def test_one_code_and_several_sets(spark):
+    """A crowd of near copies, many with one code though their sets of words differ, is one group."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        near = list(words)
+        for _ in range(i % 4):
+            near[rng.randrange(400)] = f"other{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=2).collect()
+    assert [r.doc_ids for r in got] == [list(range(120))]
+
+
+def test_ids_that_are_no_integers_are_left_out(spark):
+    df = spark.createDataFrame([("a1", "x y z"), ("2", "x y z"), ("3", "x y z"), (None, "x y z")], "doc_id string, text string")
+    groups = near_duplicates(df, shards=2)
+    assert [r.doc_ids for r in groups.collect()] == [[2, 3]]
+    assert sorted(str(r.doc_id) for r in drop_near_duplicates(df, groups).collect()) == ["2", "None", "a1"]
