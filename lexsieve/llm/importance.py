@@ -55,16 +55,17 @@ _SLICE = 1 << 12
 
 
 def _counts(buckets: int):
-    """Of a partition's documents: how many, in the target and in all, have an n-gram of each bucket; in slices of buckets, compressed."""
+    """How often the n-grams of each bucket occur in a partition's documents, in the target and in all; in slices of buckets, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(buckets, np.uint32), np.zeros(buckets, np.uint32)
         for batch in batches:
             good = batch.column(2).to_numpy(zero_copy_only=False)
             for row, offsets, hashed in tokens(batch.column(1)):
-                doc, bucket, _ = features(offsets, hashed, buckets)
-                raw += np.bincount(bucket, minlength=buckets).astype(np.uint32)
-                target += np.bincount(bucket[good[row + doc]], minlength=buckets).astype(np.uint32)
+                doc, bucket, n = features(offsets, hashed, buckets)
+                raw += np.bincount(bucket, n, minlength=buckets).astype(np.uint32)
+                mine = good[row + doc]
+                target += np.bincount(bucket[mine], n[mine], minlength=buckets).astype(np.uint32)
         both = np.stack([target, raw]).view(np.uint8).reshape(2, buckets, 4)
         at = range(0, buckets, _SLICE)
         body = [zlib.compress(both[:, a : a + _SLICE].transpose(0, 2, 1).tobytes(), 1) for a in at]
@@ -88,7 +89,7 @@ def _added(t: pa.Table) -> pa.Table:
 class Ratios:
     """Smoothed generative models of target and raw text over the buckets where the two differ.
 
-    Both are counts of documents that have an n-gram; raw counts are scaled to the target's mass, `prior` is added to each. A log
+    Both are counts of occurrences; raw counts are scaled to the target's mass, `prior` is added to each. A log
     ratio is drawn towards 0 by `errors` of its standard errors, so that the sampling noise of thousands of rare n-grams
     doesn't add up; buckets that noise alone explains are left out.
     """
@@ -103,21 +104,18 @@ class Ratios:
         return np.sign(full) * np.maximum(0, np.abs(full) - self.errors * np.sqrt(1 / t + 1 / r))
 
     def weights(self, doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, good: np.ndarray, docs: int, bound: float) -> np.ndarray:
-        """Log importance weight of each document, its own n-grams not counted in the models.
+        """Log importance weight of each document, a bag of n-grams; its own n-grams are not counted in the models.
 
         Raw text holds the target with a share of exp(-bound), so that no document can be more than exp(bound) times likelier in the target.
         """
-        place = np.full(self.buckets, -1, np.int32) if not hasattr(self, "_place") else self._place
         if not hasattr(self, "_place"):
-            place[self.bucket] = np.arange(len(self.bucket), dtype=np.int32)
-            self._place = place
-        at = place[bucket]
+            self._place = np.full(self.buckets, -1, np.int32)
+            self._place[self.bucket] = np.arange(len(self.bucket), dtype=np.int32)
+        at = self._place[bucket]
         some = at >= 0
         doc, at, n = doc[some], at[some], n[some]
-        value = self.log_ratio(self.target[at] - good[doc], self.raw[at] - 1)
-        up = np.bincount(doc, np.maximum(value, 0) * n, minlength=docs)[:docs]
-        down = np.bincount(doc, np.minimum(value, 0) * n, minlength=docs)[:docs]
-        return np.minimum(up, bound) + down
+        value = self.log_ratio(self.target[at] - n * good[doc], self.raw[at] - n)
+        return np.minimum(np.bincount(doc, value * n, minlength=docs)[:docs], bound)
 
 
 def _score(ratios: Ratios | None, bound: float, seed: int):
@@ -187,7 +185,7 @@ def resample(
     keep: float | None = None,
     buckets: int = 1 << 20,
     prior: float = 0.5,
-    errors: float = 3.0,
+    errors: float = 2.0,
     target_docs: int = 100_000,
     seed: int = 7,
     id_col: str = "doc_id",
@@ -199,9 +197,9 @@ def resample(
     """A sample, without replacement, of documents that look like the target: doc_id, log_weight, key.
 
     The target texts are the documents labelled quality 1 and toxic 0, at most `target_docs` of them, those whose ids hash
-    lowest; the raw texts are all documents. Each document is the set of its hashed unigrams and bigrams (tokens between white space, as written), each side
-    the number of documents that have each; see Ratios for the smoothing. A document's log weight sums the log ratios of all n-grams of its whole text
-    (repeats count), its evidence for the target being bounded by -ln(share of the target). The k documents with
+    lowest; the raw texts are all documents. Each document is the bag of its hashed unigrams and bigrams (tokens between white space, as written), each side
+    the number of times that each occurs; see Ratios for the smoothing. A document's log weight sums the log ratios of all n-grams of its whole text and
+    is at most -ln(share of the target). The k documents with
     the highest weight plus Gumbel noise are the sample; k is the share `keep` of the documents, by default the target's share among the
     labelled. The noise is a hash of the id and `seed`, so that a run can be repeated.
 

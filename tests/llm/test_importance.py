@@ -1,6 +1,7 @@
 """Planted quality, the ratios against plain counts, exact top-k, edge cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -42,9 +43,43 @@ def test_models_are_plain_counts(spark):
     rows = [(1, "a b a", True), (2, "a c", True), (3, "d d", False), (4, "d a", False), (5, "", False), (6, "d e", False)]
     got = train(spark.createDataFrame(rows, "doc_id bigint, text string, good boolean"), 1 << 20, 0.5, 0.0)
     counts = sorted(zip(got.target.tolist(), got.raw.tolist()))
-    plain = {"a": (2, 3), "b": (1, 1), "c": (1, 1), "d": (0, 3), "e": (0, 1), "a b": (1, 1), "b a": (1, 1), "a c": (1, 1), "d d": (0, 1), "d a": (0, 1), "d e": (0, 1)}
+    plain = {"a": (3, 4), "b": (1, 1), "c": (1, 1), "d": (0, 4), "e": (0, 1), "a b": (1, 1), "b a": (1, 1), "a c": (1, 1), "d d": (0, 1), "d a": (0, 1), "d e": (0, 1)}
     assert counts == sorted(plain.values())
-    assert np.isclose(got.scale, 7 / 15)
+    assert np.isclose(got.scale, 8 / 17)
+
+
+def test_weights_are_plain_log_ratios(spark):
+    import math
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    texts, good = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        texts.append(" ".join(rng.choices(words, k=rng.randint(0, 30)) + ["vile", "mean"] * (bad and i % 8 == 0)))
+        good.append(not bad)
+    grams = []
+    for t in texts:
+        w = t.split()
+        grams.append(Counter([*w, *zip(w, w[1:])]))
+    target, raw = Counter(), Counter()
+    for g, ok in zip(grams, good):
+        raw.update(g)
+        target.update(g if ok else {})
+    scale, share = sum(target.values()) / sum(raw.values()), sum(good) / len(good)
+
+    def ratio(t, r):
+        t, r = t + 0.5, max(r, 0) * scale + 0.5
+        full = math.log(t) - math.log(r)
+        return math.copysign(max(0.0, abs(full) - 2 * math.sqrt(1 / t + 1 / r)), full)
+
+    want = []
+    for g, ok in zip(grams, good):
+        want.append(min(sum(n * ratio(target[x] - n * ok, raw[x] - n) for x, n in g.items() if ratio(target[x], raw[x])), -math.log(share)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(not ok)) for i, ok in enumerate(good)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.log_weight for r in resample(docs, labels, keep=1.0).collect()}
+    assert np.allclose([got[i] for i in range(300)], want) and min(want) < -3
 
 
 def test_edge_cases(spark):
