@@ -19,7 +19,8 @@ SCORED = "doc_id bigint, n_words int, log_likelihood double, per_word double"
 #: Words that are worked on in step; the messages between the segments of a longer text are exact, see boundaries().
 SEGMENT = 256
 #: Words of a bucket of documents that a task holds at once when scoring.
-BUCKET = 1 << 21
+BUCKET = 1 << 22
+_SLICE = 1 << 20
 _ROWS = 512
 
 
@@ -354,8 +355,18 @@ def train(encoded: DataFrame, symbols: int, states: int, rounds: int | None, smo
     return (model, old, total[2 + states :], fits) if fits else (model, model, np.zeros((symbols, states)), fits)
 
 
-def _rare_states(model: Model, named: int):
-    """For each bucket and each of its words without a symbol of its own: the expected number of times in each state."""
+def _parted(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of their parts and then their hashes, the part of each, and where each of the given words stands among them."""
+    seen, at = np.unique(words, return_inverse=True)
+    part = ((mix(seen) >> U(20)) % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(seen), np.int64)
+    place[order] = np.arange(len(seen))
+    return seen[order], part[order], place[at]
+
+
+def _rare_states(model: Model, named: int, parts: int):
+    """For each bucket and each of its words without a symbol of its own: the expected number of times in each state. One row for each part of the words."""
     states = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,12 +374,13 @@ def _rare_states(model: Model, named: int):
         bucket = None
 
         def out() -> pa.RecordBatch:
-            word = np.concatenate([w for w, _ in held])
-            order = np.argsort(word)
-            word = word[order]
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
-            gamma = np.add.reduceat(np.concatenate([g for _, g in held])[order], first, axis=0) if len(first) else np.zeros((0, states), np.float32)
-            return pa.record_batch([pa.array(np.full(len(first), bucket, np.int64)), pa.array(word[first].view(np.int64)), _binary(gamma, np.arange(len(first) + 1) * states)], names=["bucket", "word", "states"])
+            seen, part, at = _parted(np.concatenate([w for w, _ in held]), parts)
+            each = np.concatenate([g for _, g in held])
+            gamma = np.stack([np.bincount(at, each[:, s], minlength=len(seen)) for s in range(states)], 1).astype(np.float32)
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+            return pa.record_batch(
+                [pa.array(np.full(len(cuts) - 1, bucket, np.int64)), pa.array(part[cuts[:-1]].astype(np.int32)), _binary(seen, cuts), _binary(gamma.ravel(), cuts * states)], names=["bucket", "part", "words", "states"]
+            )
 
         for batch in _batches_of_texts(batches):
             flat, cuts = flattened(batch.column("symbols"), np.uint16)
@@ -388,7 +400,8 @@ def _rare_states(model: Model, named: int):
                     if held:
                         yield out()
                     held, bucket = [], int(which[a])
-                held.append((words[at[a] : at[z]], gammas[at[a] : at[z]]))
+                if at[z] > at[a]:
+                    held.append((words[at[a] : at[z]], gammas[at[a] : at[z]]))
         if held:
             yield out()
 
@@ -399,36 +412,41 @@ def _untied(total: np.ndarray, named: int, prior: float):
     """The chance of each word within its class, for each state: its expected counts over all buckets, the class's count shares worth `prior` words added."""
     states = total.shape[1]
 
-    def make(t: pa.Table) -> pa.Table:
-        gamma = flattened(t["states"], np.float32)[0].reshape(-1, states).astype(np.float64)
-        word = t["word"].to_numpy().view(U)
-        order = np.argsort(word, kind="stable")
-        sorted_ = word[order]
-        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(word)])
-        sums = np.add.reduceat(gamma[order], first, axis=0)
-        of = total[named + (mix(sorted_[first]) % U(len(total) - named)).astype(np.int64)]
-        share = (sums + prior * (sums.sum(1) / np.maximum(of.sum(1), 1e-12))[:, None]) / (of + prior)
-        back = np.empty(len(word), np.int64)
-        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-        return pa.table({"bucket": t["bucket"], "word": t["word"], "states": _binary(share.astype(np.float32)[back], np.arange(len(word) + 1) * states)})
+    def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        word, cuts = flattened(t["words"], U)
+        gamma = flattened(t["states"], np.float32)[0].reshape(-1, states)
+        seen, at = np.unique(word, return_inverse=True)
+        sums = np.stack([np.bincount(at, gamma[:, s], minlength=len(seen)) for s in range(states)], 1)
+        of = total[named + (mix(seen) % U(len(total) - named)).astype(np.int64)]
+        share = ((sums + prior * (sums.sum(1) / np.maximum(of.sum(1), 1e-12))[:, None]) / (of + prior)).astype(np.float32)
+        step = max(1, int(np.searchsorted(cuts, _SLICE)))
+        for lo in range(0, t.num_rows, step):
+            hi = min(t.num_rows, lo + step)
+            body = share[at[cuts[lo] : cuts[hi]]]
+            yield pa.record_batch([*[t[c].slice(lo, hi - lo).combine_chunks() for c in ("bucket", "part")], _binary(body.ravel(), (cuts[lo : hi + 1] - cuts[lo]) * states)], names=["bucket", "part", "states"])
 
     return make
 
 
-def _score(model: Model, named: int):
+def _score(model: Model, named: int, parts: int):
     states = len(model.start)
 
     def make(texts_: pa.Table, words: pa.Table) -> pa.Table:
-        flat, cuts = flattened(texts_["symbols"], np.uint16)
         rare, _ = flattened(texts_["rare"], U)
-        chance = model.emit[flat]
         if len(rare):
-            word = words["word"].to_numpy().view(U)
-            order = np.argsort(word)
-            share = flattened(words["states"], np.float32)[0].reshape(-1, states)
-            chance[flat >= named] *= share[order[np.searchsorted(word[order], rare)]]
+            _, _, at = _parted(rare, parts)
+            share = flattened(words.sort_by("part")["states"], np.float32)[0].reshape(-1, states)
+        flat, cuts = flattened(texts_["symbols"], np.uint16)
+        value, known = np.zeros(texts_.num_rows), 0
+        for lo, hi in slab_bounds(cuts, _SLICE):
+            part = flat[cuts[lo] : cuts[hi]]
+            chance, own = model.emit[part], part >= named
+            n = int(own.sum())
+            if n:
+                chance[own] *= share[at[known : known + n]]
+            known += n
+            value[lo:hi] = forward(model, chance, cuts[lo:hi] - cuts[lo], np.diff(cuts[lo : hi + 1]))
         n = np.diff(cuts)
-        value = forward(model, chance, cuts[:-1], n)
         return pa.table({"doc_id": texts_["doc_id"], "n_words": pa.array(n.astype(np.int32)), "log_likelihood": pa.array(value), "per_word": pa.array(value / np.maximum(1, n), mask=n == 0)})
 
     return make
@@ -468,6 +486,7 @@ def score(
     named = len(vocab.words)
     encoded = cut(rows.mapInArrow(_encode(vocab), ENCODED))
     model, old, total, _ = train(encoded, vocab.size, states, rounds, smooth, seed, tolerance, head)
-    kind = "bucket bigint, word bigint, states binary"
-    words = whole_partitions(encoded.mapInArrow(_rare_states(old, named), kind), ["word"], _untied(total, named, prior), kind)
-    return encoded.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_score(model, named), SCORED)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = encoded.mapInArrow(_rare_states(old, named, parts), "bucket bigint, part int, words binary, states binary")
+    words = whole_partitions(counts, [F.col("part")], _untied(total, named, prior), "bucket bigint, part int, states binary", parts=parts, numbered=True)
+    return encoded.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_score(model, named, parts), SCORED)

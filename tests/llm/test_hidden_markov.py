@@ -137,11 +137,11 @@ def test_untied_words_have_chances_that_sum_to_one(spark):
     vocab = vocabulary(docs, 30, 5)
     encoded = cut(docs.mapInArrow(_encode(vocab), ENCODED))
     model, old, total, _ = train(encoded, vocab.size, 4, 3, 0.01, 1)
-    kind = "bucket bigint, word bigint, states binary"
-    words = _untied(total, 30, 1.0)(encoded.mapInArrow(_rare_states(old, 30), kind).toArrow())
-    share = flattened(words["states"], np.float32)[0].reshape(-1, 4)
-    each = {w: share[i] for i, w in enumerate(words["word"].to_pylist())}
-    assert len(each) == 210 and words.num_rows > 210
+    counts = encoded.mapInArrow(_rare_states(old, 30, 2), "bucket bigint, part int, words binary, states binary").toArrow()
+    words = flattened(counts["words"], U)[0]
+    share = np.concatenate([flattened(b.column("states"), np.float32)[0] for b in _untied(total, 30, 1.0)(counts)]).reshape(-1, 4)
+    each = dict(zip(words.view(np.int64).tolist(), share))
+    assert len(each) == 210 and len(words) == len(share) > 210
     classes = vocab.encode(np.array(list(each), np.int64).view(U)) - 30
     sums = np.zeros((5, 4))
     np.add.at(sums, classes, np.array(list(each.values())))
