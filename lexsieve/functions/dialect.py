@@ -28,8 +28,18 @@ class Dialect:
 
 
 class _Spark(Dialect):
+    """Long CASEs stand in a lambda: Spark evaluates these without generating code for them, which would else outgrow what the JVM compiles, and what it optimises."""
+
     name = "spark"
 
+    def case(self, pairs, otherwise="NULL"):
+        pairs = list(pairs)
+        body = super().case(pairs, otherwise)
+        return self.let("0", "any_", body) if len(pairs) > 6 else body
+
+    def lookup(self, x, table, otherwise="NULL"):
+        return self.let(x, "key_", super().lookup("key_", table, otherwise)) if len(table) > 6 else super().lookup(x, table, otherwise)
+
     def text(self, value):
         return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -58,6 +68,14 @@ class _Spark(Dialect):
     def sorted_set(self, x):
         return f"array_join(array_sort(array_distinct({x})), ',')"
 
+    def ordered_set(self, x, most=None):
+        """Distinct strings that aren't empty, in order of their first place, the first `most` of them, joined."""
+        kept = f"array_distinct(filter({x}, e_ -> e_ <> ''))"
+        return f"array_join({f'slice({kept}, 1, {most})' if most else kept}, ', ')"
+
+    def map_strings(self, x, name, body):
+        return f"transform({x}, {name} -> {body})"
+
     def chain(self, *lists):
         return "concat(" + ", ".join(lists) + ")"
 
@@ -122,6 +140,13 @@ class _Duck(Dialect):
     def sorted_set(self, x):
         return f"array_to_string(list_sort(list_distinct({x})), ',')"
 
+    def ordered_set(self, x, most=None):
+        kept = "list_filter(all_, lambda e_, i_: e_ <> '' AND list_position(all_, e_) = i_)"
+        return self.let(x, "all_", f"array_to_string({f'{kept}[1:{most}]' if most else kept}, ', ')")
+
+    def map_strings(self, x, name, body):
+        return f"list_transform({x}, lambda {name}: {body})"
+
     def chain(self, *lists):
         return "(" + " || ".join(lists) + ")"
 

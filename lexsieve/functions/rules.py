@@ -1,6 +1,6 @@
 """Rule tables compiled to SQL expressions.
 
-Each function takes a dialect and SQL text for its arguments and returns SQL text; spark_columns.py has the same as Columns. Where several rules can
+Each function takes a dialect and SQL text for its arguments and returns SQL text. Where several rules can
 match, "heaviest" means the highest weight, the first of equals; "first" means table order.
 """
 
@@ -45,6 +45,30 @@ def whole(alternatives: str, blank: str = " ") -> str:
     return "|".join(rf"\b{compiled(a, blank)}\b" for a in alternatives.split(" | "))
 
 
+def cores(alternatives: str) -> list[str]:
+    """For each alternative its longest stretch of letters that can't be missing; nothing if one has none of three letters."""
+    out = []
+    for a in alternatives.split(" | "):
+        bare = re.sub(r"\{[^}]*\}|\\.", "\0", a)
+        while "[" in bare or "(" in bare:
+            less = re.sub(r"\[[^\[\]()]*\]|\([^\[\]()]*\)", "\0", bare)
+            if less == bare:
+                return []
+            bare = less
+        best = max(re.findall(r"[a-z]+(?: [a-z]+)*", bare.replace("|", "\0").lower()), key=len, default="")
+        if len(best) < 3 or "|" in bare:
+            return []
+        out.append(best)
+    return out
+
+
+def gated(D: Dialect, low: str, pattern: str, needed: list[str], apart: bool = False) -> str:
+    """matches(), asked only where the letters that every match has (cores()) occur, which is far cheaper to tell. apart: blanks may be of any kind."""
+    hit = D.matches(low, pattern)
+    needed = [max(w.split(" "), key=len) for w in needed] if apart else needed
+    return f"({D.any_of(low, dict.fromkeys(needed))} AND {hit})" if D.name == "spark" and needed and min(map(len, needed)) > 2 else hit
+
+
 def lines(block: str) -> list[list[str]]:
     return [[x.strip() for x in line.split(";")] for line in block.strip().splitlines()]
 
@@ -64,6 +88,7 @@ class Trigger:
     weight: float
     pattern: str
     urgency: str | None = None
+    cores: tuple[str, ...] = ()
 
 
 @lru_cache
@@ -74,7 +99,7 @@ def triggers() -> tuple[list[Trigger], list[Trigger]]:
         for weight, kind, phrases in lines(block):
             kind, _, urgency = kind.partition("!")
             for phrase in phrases.split(" / "):
-                found[n].append(Trigger(f"{name}-{len(found[n]) + 1:03d}", kind, float(weight), whole(phrase), urgency or None))
+                found[n].append(Trigger(f"{name}-{len(found[n]) + 1:03d}", kind, float(weight), whole(phrase), urgency or None, tuple(cores(phrase))))
     return found[0], found[1]
 
 
@@ -85,7 +110,7 @@ def one_line(D: Dialect, x: str) -> str:
 def trigger_id(D: Dialect, low: str) -> str:
     """The first negation, else the heaviest trigger. low: lower-case text on one line."""
     negations, positive = triggers()
-    return D.case((D.matches(low, t.pattern), D.text(t.id)) for t in [*negations, *sorted(positive, key=lambda t: -t.weight)])
+    return D.case((gated(D, low, t.pattern, list(t.cores)), D.text(t.id)) for t in [*negations, *sorted(positive, key=lambda t: -t.weight)])
 
 
 def trigger_field(D: Dialect, id_: str, field: str) -> str:
@@ -105,15 +130,15 @@ def is_negation(D: Dialect, low: str) -> str:
 
 
 @lru_cache
-def actors() -> list[tuple[float, list[str], str, str]]:
-    return [(float(w), scope.split(), name, whole(p)) for w, scope, name, p in lines(data.ACTORS)]
+def actors() -> list[tuple[float, list[str], str, str, list[str]]]:
+    return [(float(w), scope.split(), name, whole(p), cores(p)) for w, scope, name, p in lines(data.ACTORS)]
 
 
 def actor(D: Dialect, low: str, source: str) -> str:
     """The heaviest actor; a rule with a scope needs source in it, unless source is null."""
     pairs = []
-    for _, scope, name, pattern in sorted(actors(), key=lambda a: -a[0]):
-        hit = D.matches(low, pattern)
+    for _, scope, name, pattern, needed in sorted(actors(), key=lambda a: -a[0]):
+        hit = gated(D, low, pattern, needed)
         pairs.append((f"({hit} AND ({source} IS NULL OR {D.one_of(source, scope)}))" if scope else hit, D.text(name)))
     return D.case(pairs, D.text("Regulated Entity"))
 
@@ -160,11 +185,14 @@ def deadline_text(D: Dialect, x: str) -> str:
 
 def deadline_rule(D: Dialect, flat: str) -> str:
     """Number of the first deadline rule, or null."""
-    return D.case(((D.matches(flat, p), str(n)) for n, (_, _, p) in enumerate(deadlines())), "CAST(NULL AS INT)")
+    needed = [cores(p) for _, _, p in lines(data.DEADLINES)]
+    if D.name != "spark":
+        return D.case(((D.matches(flat, p), str(n)) for n, (_, _, p) in enumerate(deadlines())), "CAST(NULL AS INT)")
+    return D.let(f"lower({flat})", "small_", D.case(((gated(D, "small_", p, c, apart=True), str(n)) for n, ((_, _, p), c) in enumerate(zip(deadlines(), needed))), "CAST(NULL AS INT)"))
 
 
 def _by_rule(D: Dialect, rule: str, values: dict[int, str], otherwise: str) -> str:
-    return f"CASE {rule} " + " ".join(f"WHEN {n} THEN {v}" for n, v in values.items()) + f" ELSE {otherwise} END" if values else otherwise
+    return D.case([(f"{rule} = {n}", v) for n, v in values.items()], otherwise)
 
 
 def deadline_found(D: Dialect, rule: str, flat: str) -> str:
@@ -283,7 +311,7 @@ def domain_names() -> list[str]:
 
 def best_domain(D: Dialect, scores: list[str], best: str) -> str:
     """First domain with the best score, Other without any point."""
-    return f"CASE WHEN {best} = 0 THEN 'Other' " + " ".join(f"WHEN {s} = {best} THEN {D.text(n)}" for s, n in zip(scores, domain_names())) + " END"
+    return D.case([(f"{best} = 0", "'Other'"), *((f"{s} = {best}", D.text(n)) for s, n in zip(scores, domain_names()))])
 
 
 def _lists(D: Dialect, x: str, table: dict[str, list[str]], otherwise: list[str]) -> str:
@@ -452,8 +480,12 @@ def references() -> list[str]:
 
 
 def cross_references(D: Dialect, x: str) -> str:
-    """all that the rules find, rule by rule, with repeats."""
-    return D.chain(*(D.extract_all(x, p) for p in references()))
+    """all that the rules find, rule by rule, with repeats, blanks as one. reference_list() has the first eight distinct ones."""
+    return D.map_strings(D.chain(*(D.extract_all(x, p) for p in references())), "ref_", f"trim({D.replace('ref_', r'\s+', ' ')})")
+
+
+def has_references(D: Dialect, x: str) -> str:
+    return "(" + " OR ".join(D.matches(x, p) for p in references()) + ")"
 
 
 def numbers(field: str) -> list[str]:

@@ -25,34 +25,48 @@ def matched(D: Dialect, base: str | None = None) -> str:
         FROM ({D.barrier(lowered(D, base), "doc_id section_id source clause_text low flat".split())})"""
 
 
-def resolved(D: Dialect, base: str | None = None) -> str:
-    """matched() with everything that depends on other findings."""
+#: What resolved() works out, and what of it each needs besides the clause.
+_NEEDS = {"deadline": ["when_text"], "confidence": ["found", "penalty", "fine"], "condition": ["found"]}
+
+
+def resolved(D: Dialect, base: str | None = None, need: str | None = None) -> str:
+    """matched() with everything that depends on other findings. need: the columns wanted; without it all."""
+    wanted = set(need.split()) if need else None
+    for name in list(wanted or ()):
+        wanted.update(_NEEDS.get(name, ()))
+    drop = lambda name, text: text if wanted is None or name in wanted else ""
     points = [f"p{i}" for i in range(len(R.domain_names()))]
     kept = "doc_id, section_id, source, clause_text, low, flat, trigger_id, rule, own_sub_type"
     one = f"""
         SELECT {kept}, {R.corrected_actor(D, "raw_actor", "low")} AS actor, greatest({", ".join(points)}) AS points, {R.best_domain(D, points, f"greatest({', '.join(points)})")} AS own_domain,
                {R.trigger_field(D, "trigger_id", "kind")} AS kind, {R.trigger_field(D, "trigger_id", "urgency")} AS override, {R.trigger_field(D, "trigger_id", "weight")} AS weight,
-               {R.trigger_text(D, "trigger_id", "low")} AS found, {R.final_clause_type(D, "raw_clause", "clause_text")} AS clause_type
+               {drop("found", R.trigger_text(D, "trigger_id", "low") + " AS found, ")}{R.final_clause_type(D, "raw_clause", "clause_text")} AS clause_type
         FROM ({D.barrier(matched(D, base), f"doc_id section_id source clause_text low flat trigger_id rule own_sub_type raw_actor raw_clause {' '.join(points)}".split())})"""
     two = f"""
-        SELECT *, {R.sector_id(D, "low", "actor")} AS sector, {R.obligation_type(D, "kind", "low")} AS obligation_type, {R.deadline_found(D, "rule", "flat")} AS when_text
+        SELECT *, {R.sector_id(D, "low", "actor")} AS sector, {R.obligation_type(D, "kind", "low")} AS obligation_type{drop("when_text", ", " + R.deadline_found(D, "rule", "flat") + " AS when_text")}
         FROM ({one})"""
+    extra = [
+        ("deadline", f"coalesce({R.sector_field(D, 'sector', 'deadline')}, {R.deadline_label(D, 'rule', 'when_text', 'flat', 'override')})"),
+        ("duration", f"coalesce({R.sector_field(D, 'sector', 'duration')}, {R.deadline_duration(D, 'rule', 'flat')})"),
+        ("deadline_date", R.deadline_date(D, "rule", "flat")),
+        ("penalty", R.penalty(D, "clause_text")),
+        ("fine", R.fine(D, "clause_text")),
+        ("n_references", D.size(R.cross_references(D, "clause_text"))),
+    ]
+    held = f"{kept.replace(',', '')} actor points own_domain kind override weight clause_type sector obligation_type {drop('found', 'found')} {drop('when_text', 'when_text')}".split()
     three = f"""
         SELECT *, coalesce({R.sector_field(D, "sector", "domain")}, own_domain) AS domain, coalesce({R.sector_field(D, "sector", "sub_type")}, own_sub_type) AS sub_type,
-               coalesce({R.sector_field(D, "sector", "deadline")}, {R.deadline_label(D, "rule", "when_text", "flat", "override")}) AS deadline,
-               coalesce({R.sector_field(D, "sector", "duration")}, {R.deadline_duration(D, "rule", "flat")}) AS duration, {R.deadline_date(D, "rule", "flat")} AS deadline_date,
-               coalesce({R.sector_field(D, "sector", "urgency")}, {R.deadline_urgency(D, "rule", "flat", "override")}) AS urgency,
-               {R.penalty(D, "clause_text")} AS penalty, {R.fine(D, "clause_text")} AS fine, {D.size(R.cross_references(D, "clause_text"))} AS n_references
-        FROM ({D.barrier(two, f"{kept.replace(',', '')} actor points own_domain kind override weight found clause_type sector obligation_type when_text".split())})"""
+               coalesce({R.sector_field(D, "sector", "urgency")}, {R.deadline_urgency(D, "rule", "flat", "override")}) AS urgency, {R.has_references(D, "clause_text")} AS refers{"".join(f", {x} AS {n}" for n, x in extra if drop(n, n))}
+        FROM ({D.barrier(two, held)})"""
     four = f"SELECT *, {R.severity(D, 'low', 'urgency', 'obligation_type', 'sub_type', 'domain')} AS own_severity, {R.sector_field(D, 'sector', 'severity')} AS least FROM ({three})"
-    conf = R.confidence(D, "clause_text", "found", "urgency", "n_references > 0", "actor", "points", "penalty IS NOT NULL", "coalesce(fine, 0) > 0", "clause_type")
+    conf = drop("confidence", ", " + R.confidence(D, "clause_text", "found", "urgency", "refers", "actor", "points", "penalty IS NOT NULL", "coalesce(fine, 0) > 0", "clause_type") + " AS confidence")
     return f"""
-        SELECT *, CASE WHEN {R.severity_rank(D, "least")} > {R.severity_rank(D, "own_severity")} THEN least ELSE own_severity END AS severity, {conf} AS confidence
+        SELECT *, CASE WHEN {R.severity_rank(D, "least")} > {R.severity_rank(D, "own_severity")} THEN least ELSE own_severity END AS severity{conf}
         FROM ({four})"""
 
 
-def _picked(columns: str, base: Callable[[Dialect], str] = resolved) -> Callable[[Dialect], str]:
-    return lambda D: f"SELECT {KEYS}, {columns} FROM ({base(D)})"
+def _picked(columns: str, need: str) -> Callable[[Dialect], str]:
+    return lambda D: f"SELECT {KEYS}, {columns} FROM ({resolved(D, need=need)})"
 
 
 def _found(D: Dialect) -> str:
@@ -72,7 +86,7 @@ def actor_match(D: Dialect) -> str:
 
 
 def sub_types(D: Dialect) -> str:
-    return f"SELECT {KEYS}, own_sub_type AS sub_type, {R.severity_floor(D, 'own_sub_type')} AS severity_floor, {D.sorted_set(R._lists(D, 'own_sub_type', R.listed(data.SUB_TYPE_DEPARTMENTS), []))} AS departments FROM ({matched(D)})"
+    return f"SELECT {KEYS}, own_sub_type AS sub_type, {R.severity_floor(D, 'own_sub_type')} AS severity_floor, {D.ordered_set(R._lists(D, 'own_sub_type', R.listed(data.SUB_TYPE_DEPARTMENTS), []))} AS departments FROM ({matched(D)})"
 
 
 def deadline_extract(D: Dialect) -> str:
@@ -91,15 +105,15 @@ def dates(D: Dialect) -> str:
 
 
 def department_list(D: Dialect) -> str:
-    return f"SELECT {KEYS}, {D.sorted_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({resolved(D)})"
+    return f"SELECT {KEYS}, {D.ordered_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({resolved(D, need='domain')})"
 
 
 def sector_match(D: Dialect) -> str:
-    return f"SELECT {KEYS}, sector, {', '.join(f'{R.sector_field(D, 'sector', f)} AS {f}' for f in ('name', 'domain', 'sub_type', 'deadline', 'duration', 'urgency', 'severity'))} FROM ({resolved(D)})"
+    return f"SELECT {KEYS}, sector, {', '.join(f'{R.sector_field(D, 'sector', f)} AS {f}' for f in ('name', 'domain', 'sub_type', 'deadline', 'duration', 'urgency', 'severity'))} FROM ({resolved(D, need='domain')})"
 
 
 def severity_levels(D: Dialect) -> str:
-    return f"SELECT {KEYS}, own_severity, severity, {R.severity_rank(D, 'severity')} AS severity_rank, {R.severity_reason(D, 'severity', 'urgency', D.text(None))} AS reason FROM ({resolved(D)})"
+    return f"SELECT {KEYS}, own_severity, severity, {R.severity_rank(D, 'severity')} AS severity_rank, {R.severity_reason(D, 'severity', 'urgency', 'sub_type')} AS reason FROM ({resolved(D, need='severity')})"
 
 
 def clause_types(D: Dialect) -> str:
@@ -107,21 +121,21 @@ def clause_types(D: Dialect) -> str:
 
 
 def predicates(D: Dialect) -> str:
-    """F11, F12, F39, F46, F50, F53 and the word count F15."""
+    """F11, F12, F39, F50, F53 and the word count F15; every other clause is asked in quotes whether it is a quoted block."""
     marks = D.matches("clause_text", r"(?i)(?:^|\s)(?:\(?[a-z]\)|\(?[ivxlcdm]+\))\s+")
     duty = D.matches("low", r"\b(?:shall|must|may)\b|within\s+\d+\s+days")
     return f"""
-        SELECT {KEYS}, {R.is_boilerplate(D, "clause_text")} AS boilerplate, {R.is_quoted(D, "clause_text", "clause_type")} AS quoted, {R.is_quoted_block(D, "concat('“', clause_text, '”')")} AS block,
+        SELECT {KEYS}, {R.is_boilerplate(D, "clause_text")} AS boilerplate, {R.is_quoted(D, "clause_text", "clause_type")} AS quoted, {R.is_quoted_block(D, "CASE WHEN section_id % 2 = 0 THEN concat('“', clause_text, '”') ELSE clause_text END")} AS block,
                {marks} AS enumerated, {duty} AS duty, {D.size(D.words("clause_text"))} AS words
-        FROM ({resolved(D)})"""
+        FROM ({resolved(D, need="clause_type")})"""
 
 
 def reference_list(D: Dialect) -> str:
-    return f"SELECT {KEYS}, {D.sorted_set(R.cross_references(D, 'clause_text'))} AS refs, {R.amends(D, 'clause_text')} AS amended, {R.first_number(D, 'clause_text', 'circular_number')} AS circular, {R.first_number(D, 'clause_text', 'reference_number')} AS reference, {R.document_type(D, 'clause_text')} AS document_type FROM ({corpus.clauses(D)})"
+    return f"SELECT {KEYS}, {D.ordered_set(R.cross_references(D, 'clause_text'), 8)} AS refs, {R.amends(D, 'clause_text')} AS amended, {R.first_number(D, 'clause_text', 'circular_number')} AS circular, {R.first_number(D, 'clause_text', 'reference_number')} AS reference, {R.document_type(D, 'clause_text')} AS document_type FROM ({corpus.clauses(D)})"
 
 
 def penalties(D: Dialect) -> str:
-    return f"SELECT {KEYS}, penalty, fine, {R.condition_text(D, 'clause_text', 'kind', 'found')} AS condition, {D.sorted_set(R.evidence(D, 'low', 'domain'))} AS evidence FROM ({resolved(D)})"
+    return f"SELECT {KEYS}, penalty, fine, {R.condition_text(D, 'clause_text', 'kind', 'found')} AS condition, {D.ordered_set(R.evidence(D, 'low', 'domain'))} AS evidence FROM ({resolved(D, need='penalty fine condition')})"
 
 
 LIVE_TRIGGERS = ["shall", "must", "required", "prohibited", "mandated", "obligated", "may", "should"]
@@ -200,40 +214,48 @@ def field_vote(D: Dialect) -> str:
     return vote_results(D, votes(D))
 
 
-def kept(D: Dialect, base: str | None = None) -> str:
-    """Clauses that are obligations: not quoted, boilerplate or without any signal, and of a suitable clause type."""
-    columns = "doc_id section_id source clause_text low trigger_id weight kind found actor clause_type obligation_type domain sub_type deadline duration deadline_date urgency n_references severity confidence penalty fine points".split()
-    return f"""
-        SELECT * FROM ({D.barrier(resolved(D, base), columns)})
-        WHERE NOT {D.one_of("clause_type", ("definition", "cross_reference", "effective_date", "quoted_reference"))} AND NOT {R.is_quoted(D, "clause_text", "clause_type")} AND NOT {R.is_boilerplate(D, "clause_text")}
-          AND length(trim(clause_text)) >= 20 AND (trigger_id IS NOT NULL OR urgency <> 'ongoing' OR n_references > 0)
+#: All that an obligation has.
+WHOLE = "source clause_text low trigger_id weight kind found actor clause_type obligation_type domain sub_type deadline duration deadline_date urgency n_references refers severity confidence penalty fine points"
+
+
+def flagged(D: Dialect, need: str = WHOLE, base: str | None = None) -> str:
+    """Every clause with `kept`: whether it is an obligation, being neither quoted, boilerplate nor without any signal, and of a suitable clause type."""
+    test = f"""NOT {D.one_of("clause_type", ("definition", "cross_reference", "effective_date", "quoted_reference"))} AND NOT {R.is_quoted(D, "clause_text", "clause_type")} AND NOT {R.is_boilerplate(D, "clause_text")}
+          AND length(trim(clause_text)) >= 20 AND (trigger_id IS NOT NULL OR urgency <> 'ongoing' OR refers)
           AND ({D.one_of("clause_type", ("obligation", "penalty", "permission"))} OR coalesce(weight, 0) >= 0.9)"""
+    columns = ["doc_id", "section_id", *need.split()]
+    return f"SELECT {', '.join(columns)}, kept FROM ({D.barrier(f'SELECT *, coalesce({test}, FALSE) AS kept FROM ({resolved(D, base, need)})', [*columns, 'kept'])})"
+
+
+def kept(D: Dialect, base: str | None = None, need: str = WHOLE) -> str:
+    """The clauses that are obligations."""
+    return f"SELECT * FROM ({flagged(D, need, base)}) WHERE kept"
 
 
 def by_domain(D: Dialect) -> str:
-    return f"SELECT source, domain, severity, count(*) AS n FROM ({kept(D)}) GROUP BY GROUPING SETS ((source, domain), (source, severity), (source))"
+    return f"SELECT source, domain, severity, count(*) AS n FROM ({kept(D, need='source domain severity')}) GROUP BY GROUPING SETS ((source, domain), (source, severity), (source))"
 
 
 def obligations_per_source(D: Dialect) -> str:
-    return f"SELECT source, severity, count(*) AS n FROM ({kept(D)}) GROUP BY source, severity"
+    return f"SELECT source, severity, count(*) AS n FROM ({kept(D, need='source severity')}) GROUP BY source, severity"
 
 
 def corpus_totals(D: Dialect) -> str:
-    return f"SELECT domain, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, domain) AS place FROM ({kept(D)}) GROUP BY domain"
+    return f"SELECT domain, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, domain) AS place FROM ({kept(D, need='domain')}) GROUP BY domain"
 
 
 def document_summary(D: Dialect) -> str:
     """A5: totals and status of each document; without obligations it is partial."""
     return f"""
-        SELECT c.doc_id, max(c.source) AS source, count(*) AS sections, count(k.section_id) AS obligations, count(DISTINCT k.domain) AS domains,
-               CAST(sum(CASE WHEN k.severity = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical, CASE WHEN count(k.section_id) = 0 THEN 'partial' ELSE 'success' END AS status
-        FROM ({corpus.clauses(D)}) c LEFT JOIN ({kept(D)}) k ON c.doc_id = k.doc_id AND c.section_id = k.section_id GROUP BY c.doc_id"""
+        SELECT doc_id, max(source) AS source, count(*) AS sections, count(CASE WHEN kept THEN 1 END) AS obligations, count(DISTINCT CASE WHEN kept THEN domain END) AS domains,
+               count(CASE WHEN kept AND severity = 'critical' THEN 1 END) AS critical, CASE WHEN count(CASE WHEN kept THEN 1 END) = 0 THEN 'partial' ELSE 'success' END AS status
+        FROM ({flagged(D, "source domain severity")}) GROUP BY doc_id"""
 
 
 def numbered(D: Dialect) -> str:
     """O1, O2: obligations by severity and confidence, numbered within their document."""
     order = f"PARTITION BY doc_id ORDER BY {R.severity_rank(D, 'severity')} DESC, confidence DESC, section_id"
-    return f"SELECT {KEYS}, severity, confidence, row_number() OVER ({order}) AS seq, concat(CAST(section_id AS VARCHAR(20)), '-OB', CAST(row_number() OVER ({order}) AS VARCHAR(20))) AS obligation_id FROM ({kept(D)})"
+    return f"SELECT {KEYS}, severity, confidence, row_number() OVER ({order}) AS seq, concat(CAST(section_id AS VARCHAR(20)), '-OB', CAST(row_number() OVER ({order}) AS VARCHAR(20))) AS obligation_id FROM ({kept(D, need='severity confidence')})"
 
 
 def rule_checks(D: Dialect) -> str:
@@ -257,21 +279,17 @@ def rule_checks(D: Dialect) -> str:
 
 
 def missed(D: Dialect) -> str:
-    """Clauses with "shall" that have no obligation, without those about effective dates."""
+    """J7, the exact half, and U7: clauses with "shall" that are no obligation, without those about effective dates."""
     return f"""
-        SELECT c.doc_id, c.section_id, c.clause_text FROM ({corpus.clauses(D)}) c
-        WHERE contains(concat(' ', lower(c.clause_text), ' '), ' shall ') AND NOT {D.any_of("lower(c.clause_text)", ("come into force", "effect from", "effective from"))}
-          AND NOT EXISTS (SELECT 1 FROM ({kept(D)}) k WHERE k.doc_id = c.doc_id AND k.section_id = c.section_id)"""
+        SELECT {KEYS}, clause_text FROM ({flagged(D, "clause_text low")})
+        WHERE NOT kept AND contains(concat(' ', low, ' '), ' shall ') AND NOT {D.any_of("low", ("come into force", "effect from", "effective from"))}"""
 
 
 def merged_findings(D: Dialect) -> str:
-    """Findings of two validators; of those with one key, the first validator's stays."""
-    first = f"SELECT {KEYS}, field, correct_value, 1 AS origin FROM ({rule_checks(D)})"
-    second = f"SELECT {KEYS}, 'obligation_type' AS field, 'discretionary' AS correct_value, 2 AS origin FROM ({kept(D)}) WHERE section_id % 3 = 0"
+    """Findings of the validation rules and of the heuristics; of those with one key, the rules' stays."""
     return f"""
         SELECT {KEYS}, field, correct_value, origin, concat('fix ', replace(field, '.', ' '), ' for ', CAST(section_id AS VARCHAR(20))) AS fix
-        FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}, field, correct_value ORDER BY origin) AS nth FROM (SELECT * FROM ({first}) UNION ALL SELECT * FROM ({second})))
-        WHERE nth = 1"""
+        FROM (SELECT {KEYS}, field, correct_value, min(CASE WHEN check_id = 'heuristic' THEN 2 ELSE 1 END) AS origin FROM ({rule_checks(D)}) GROUP BY {KEYS}, field, correct_value)"""
 
 
 def new_documents(D: Dialect) -> str:
@@ -293,7 +311,7 @@ def training_pairs(D: Dialect) -> str:
 
 
 def section_rows(D: Dialect) -> str:
-    """Sections of the numbered documents: id, level, heading, offset and text of each."""
+    """Sections of the numbered documents: id, level, heading, offset and text of each."""
     lines = D.explode_lines(f"({corpus.clause_documents(D, corpus.clauses(D))})", "doc_id", "full_text")
     number, roman = r"^(\d+(?:\.\d+)*[A-Z]?)\.\s*(.*)$", r"(?i)^\(([ivxlcdm]+)\)\s*(.*)$"
     marked = f"""
@@ -353,13 +371,21 @@ def cosine_patterns(D: Dialect) -> str:
 
 
 def duplicate_pairs(D: Dialect) -> str:
-    """J8, the part that is exact: obligations of one source, actor and opening, digits aside, each against the first of them."""
+    """J8, the part that is exact: obligations of one source, actor and opening, digits aside, each against the first of them. operators.validation has the part by likeness."""
     key = f"substr({D.replace('low', '[0-9]+', '#')}, 1, 48)"
-    return f"SELECT doc_id, section_id, first_section FROM (SELECT {KEYS}, min(section_id) OVER (PARTITION BY source, actor, {key}) AS first_section FROM ({kept(D)})) WHERE section_id > first_section"
+    every = f"SELECT {KEYS}, source, actor, {key} AS opening FROM ({kept(D, need='source actor low')})"
+    if D.name == "duckdb":
+        return f"SELECT doc_id, section_id, first_section FROM (SELECT {KEYS}, min(section_id) OVER (PARTITION BY source, actor, opening) AS first_section FROM ({every})) WHERE section_id > first_section"
+    # The groups are few and large: their firsts are found by partial aggregation and joined to the rows. Both sides read one exchange, so that clauses are worked out once.
+    first = "SELECT source, actor, opening, min(section_id) AS first_section, count(doc_id) AS n FROM every_ GROUP BY source, actor, opening"
+    return f"""
+        WITH every_ AS (SELECT /*+ REPARTITION(section_id) */ * FROM ({every}))
+        SELECT e.doc_id, e.section_id, f.first_section FROM every_ e JOIN ({first}) f ON e.source = f.source AND e.actor = f.actor AND e.opening = f.opening
+        WHERE f.n > 1 AND e.section_id > f.first_section"""
 
 
 def text_profile(D: Dialect) -> str:
-    """F1, F20, S2, F47, S3, S4 and sizes, over documents."""
+    """F1, F20, S2, F47, S4 and sizes, over documents."""
     clean = R.normalised(D, "text")
     return f"SELECT doc_id, length({clean}) AS clean_chars, {R.script_language(D, 'text', True)} AS language_of_all, {R.script_language(D, 'text', False)} AS language_of_letters, {R.source_of(D, 'text')} AS issuer, {D.any_of('lower(text)', ('annex', 'schedule'))} AS annexed FROM documents"
 
@@ -374,15 +400,15 @@ def table_runs(D: Dialect) -> str:
 PLANS: dict[str, Callable[[Dialect], str]] = {
     "trigger_match": trigger_match,
     "actor_match": actor_match,
-    "obligation_type": _picked("obligation_type, kind"),
+    "obligation_type": _picked("obligation_type, kind", "obligation_type"),
     "sub_type": sub_types,
     "deadline_extract": deadline_extract,
     "date_parse": dates,
-    "domain_score": _picked("own_domain AS domain, points"),
+    "domain_score": _picked("own_domain AS domain, points", "domain"),
     "departments": department_list,
     "sector_match": sector_match,
     "severity": severity_levels,
-    "confidence": _picked("confidence, points, n_references"),
+    "confidence": _picked("confidence, points, n_references", "confidence n_references"),
     "clause_type": clause_types,
     "clause_predicates": predicates,
     "cross_references": reference_list,
@@ -412,7 +438,7 @@ PLANS: dict[str, Callable[[Dialect], str]] = {
 
 def candidate_clauses(D: Dialect, base: str | None = None) -> str:
     """What the candidate profile needs of each obligation clause."""
-    return f"SELECT *, {D.sorted_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({kept(D, base)})"
+    return f"SELECT *, {D.ordered_set(R.departments(D, 'domain', 'sub_type', 'actor', 'low'))} AS departments FROM ({kept(D, base)})"
 
 
 #: Plans that other operators build on.
