@@ -39,11 +39,11 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, subspaces: int)
 
     Zeros are appended up to a dimension that the number of subspaces divides.
 
-    The length of the vectors is the commonest (the least, if tied). Null ids, null or empty vectors, vectors of another length or with a
+    The length of the vectors is the commonest (the least, if tied). Ids that are null or no integers, null or empty vectors, vectors of another length or with a
     null, infinite or NaN element, and zero vectors are left out; of rows that share an id the least vector stays.
     """
     session(vectors)
-    rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"))
+    rows = vectors.select(vectors[id_col].try_cast("bigint").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"))
     rows = rows.filter("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = sizes["n"] if sizes else 1
@@ -66,6 +66,12 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     return out
 
 
+def groups_of(n: int, size: int) -> int:
+    """How many coarse groups n vectors get: of `size` each, but not more than sqrt(96 n), beyond which comparing a vector with all centres, which every task
+    holds, costs more than longer groups do; that begins at 25 million vectors for groups of 512."""
+    return max(1, int(np.ceil(min(n / size, np.sqrt(96.0 * n)))))
+
+
 def _sums(centres: np.ndarray, books: np.ndarray | None, dim: int):
     """Per cluster of this partition: sum and number of vectors. Without books of the coarse clusters, else of each subspace's residuals."""
 
@@ -137,7 +143,7 @@ class Quantiser:
 
 def train(units: DataFrame, dim: int, n: int, per_list: int, subspaces: int, words: int, rounds: int) -> Quantiser:
     """Lloyd's algorithm over all vectors, counts and sums added up across partitions; starts from the lowest hashed ids."""
-    lists = max(1, -(-n // per_list))
+    lists = groups_of(n, per_list)
     seeds = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(lists, words)).toPandas()
     x = np.frombuffer(b"".join(seeds["vec"]), np.float32).reshape(-1, dim).astype(np.float64)
     centres = x[:lists].copy()
@@ -170,58 +176,123 @@ def _probes(q: Quantiser, dim: int, probes: int):
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the pairs join, one fewer than the nodes of each component."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Edges that join what the pairs told so far join, one fewer than the nodes of each component."""
 
-    def find(x: int) -> int:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
         parent.setdefault(x, x)
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
-        lo, hi = sorted((find(x), find(y)))
-        parent[hi] = lo
-    return [(x, find(x)) for x in parent if find(x) != x]
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            lo, hi = sorted((self.find(x), self.find(y)))
+            self.parent[hi] = lo
+
+    def edges(self) -> np.ndarray:
+        return np.array([(x, self.find(x)) for x in self.parent if self.find(x) != x], np.int64).reshape(-1, 2)
 
 
-def floors(x: np.ndarray, decoded: np.ndarray, least: float) -> np.ndarray:
+def floors(x: np.ndarray, decoded: np.ndarray, least: float | np.ndarray) -> np.ndarray:
     """For each unit vector and what its codes decode to: no unit vector with a cosine of at least `least` to x has a lower product with the latter.
 
     A query at angle t to x has at least a cos(t) - b sin(t), a and b being the parts of the decoded vector along and across x; for a >= 0
     that falls up to a right angle.
     """
-    c = least - 1e-6  # room for rounding
+    c = np.asarray(least) - 1e-6  # room for rounding
     along, square = np.einsum("ij,ij->i", x, decoded), (decoded**2).sum(1)
     across = np.sqrt(np.maximum(0, square - along**2))
-    return np.where((along >= 0) & (c >= 0), along * c - across * np.sqrt(max(0, 1 - c * c)), -np.sqrt(square)) - 1e-6
+    return np.where((along >= 0) & (c >= 0), along * c - across * np.sqrt(np.maximum(0, 1 - c * c)), -np.sqrt(square)) - 1e-6
+
+
+def leaders_of(x: np.ndarray, least: float) -> np.ndarray:
+    """For each row the number of the leader that it has a cosine of at least `least` to, or its own: the first such leader, rows being taken in order."""
+    lead, chosen = np.empty(len(x), np.int64), np.zeros(0, np.int64)
+    for lo in range(0, len(x), 512):
+        block, rest = x[lo : lo + 512], np.arange(len(x[lo : lo + 512]))
+        if len(chosen):
+            like = block @ x[chosen].T
+            best = like.argmax(1)
+            near = like[rest, best] >= least
+            lead[lo + rest[near]] = chosen[best[near]]
+            rest = rest[~near]
+        close = block[rest] @ block[rest].T >= least
+        single = close.sum(1) == 1
+        lead[lo + rest[single]] = lo + rest[single]
+        new = [lo + rest[single]]
+        left = np.flatnonzero(~single)
+        while len(left):
+            mine = left[close[left[0], left]]
+            lead[lo + rest[mine]] = lo + rest[left[0]]
+            new.append(lo + rest[left[:1]])
+            left = left[~close[left[0], left]]
+        chosen = np.concatenate([chosen, *new])
+    return lead
 
 
 def _scan(q: Quantiser, dim: int, least: float, pairs: bool):
+    """What the queries of each list find in it: all pairs, or a forest that joins the same vectors.
+
+    For the forest, vectors within half the angle of a leader are one with it, as any two of them are near enough. A query is compared with the leaders alone, by table
+    lookups and then exactly, the angle being wider by that of the farthest member; with the members only where the leader leaves it open. So a crowd
+    of near copies costs its number times its few leaders.
+    """
+    angle = np.arccos(min(1.0, least))
+
     def make(t: pa.Table) -> pa.Table:
         cell, ids = t["cell"].to_numpy(), t["vec_id"].to_numpy()
-        vecs = matrix(t["vec"], dim).astype(np.float64)
+        everything = matrix(t["vec"], dim)
         coded = t["code"].is_valid().to_numpy(zero_copy_only=False)
         raw = t["code"].combine_chunks()
-        found = []
-        for c in np.unique(cell):
-            here = np.flatnonzero(cell == c)
+        found, step = [], max(1, (1 << 22) // dim)
+        order = np.argsort(cell, kind="stable")
+        edges = np.append(np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1])[: len(cell)]), len(cell))
+        for a, z in zip(edges[:-1], edges[1:]):
+            here, c = order[a:z], int(cell[order[a]])
             own = here[coded[here]]
             if not len(own):
                 continue
-            codes = np.frombuffer(b"".join(raw.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
-            base, hits = vecs[own], []
-            floor, step = floors(base, q.decoded(int(c), codes), least), max(1, (1 << 22) // dim)
+            base = everything[own].astype(np.float64)
+            lead = np.arange(len(own)) if pairs else leaders_of(base, np.cos(angle / 2))
+            heads, of = np.unique(lead, return_inverse=True)
+            wide = np.zeros(len(heads))
+            np.maximum.at(wide, of, np.arccos(np.clip(np.einsum("ij,ij->i", base, base[lead]), -1, 1)) * (lead != np.arange(len(own))))
+            members = np.argsort(of, kind="stable")
+            starts = np.searchsorted(of[members], np.arange(len(heads) + 1))
+            codes = np.frombuffer(b"".join(raw.take(pa.array(own[heads])).to_pylist()), np.uint8).reshape(len(heads), -1)
+            floor = floors(base[heads], q.decoded(c, codes), np.cos(np.minimum(np.pi, angle + wide)))
+            forest, hits = Forest(), []
+            if not pairs:
+                forest.add(ids[own], ids[own[lead]])
             for lo in range(0, len(here), 512):
                 asked = here[lo : lo + 512]
-                r, n = np.nonzero(q.products(vecs[asked], int(c), codes) >= floor)
-                exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", vecs[asked[r[i : i + step]]], base[n[i : i + step]]) for i in range(0, len(r), step)]])
-                ok = (exact >= least - 1e-7) & (ids[asked[r]] != ids[own[n]])
-                hits.append(np.stack([ids[asked[r[ok]]], ids[own[n[ok]]]], 1))
-            got = np.concatenate(hits)
-            found.append(got if pairs else np.array(forest(got[:, 0], got[:, 1]), np.int64).reshape(-1, 2))
+                x = everything[asked].astype(np.float64)
+                r, n = np.nonzero(q.products(x, c, codes) >= floor)
+                exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", x[r[i : i + step]], base[heads[n[i : i + step]]]) for i in range(0, len(r), step)]])
+                ok = exact >= least - 1e-7
+                who, whom = [ids[asked[r[ok]]]], [ids[own[heads[n[ok]]]]]
+                open_ = ~ok & (wide[n] > 0) & (exact >= np.cos(np.minimum(np.pi, angle + wide[n])) - 1e-7)
+                for h in np.unique(n[open_]):
+                    asking, there = r[open_ & (n == h)], members[starts[h] : starts[h + 1]]
+                    for m in range(0, len(there), 4096):
+                        like = x[asking] @ base[there[m : m + 4096]].T
+                        at = like.argmax(1)
+                        near = like[np.arange(len(asking)), at] >= least - 1e-7
+                        who.append(ids[asked[asking[near]]])
+                        whom.append(ids[own[there[m + at[near]]]])
+                who, whom = np.concatenate(who), np.concatenate(whom)
+                other = who != whom
+                if pairs:
+                    hits.append(np.stack([who[other], whom[other]], 1))
+                else:
+                    forest.add(who[other], whom[other])
+            found.append(np.concatenate(hits) if pairs else forest.edges())
         got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(got.max(1) if len(got) else got[:, 0], pa.int64()), "b": pa.array(got.min(1) if len(got) else got[:, 1], pa.int64())})
 
@@ -243,21 +314,23 @@ def near_embeddings(
 
     Every vector is coded in its inverted list (residual to the coarse centre, `subspaces` codes) and is a query to the
     `probes` nearest lists: table lookups estimate its product with the coded vectors there, and all estimates that a cosine of `least_cosine`
-    allows, given each coded vector's own error (see floors), are checked by the exact cosine. Each list hands on a spanning forest of its pairs, so that crowds of
-    copies cost no more than their number. Quantisers are trained on all vectors.
+    allows, given each coded vector's own error (see floors), are checked by the exact cosine. Equal vectors are one from the start; near copies within a list are
+    taken together (see _scan), and each list hands on a spanning forest of its pairs. Quantisers are trained on all distinct vectors; see groups_of for the number of lists.
 
     Which rows are left out is told at unit_vectors; zero vectors have no cosine. An empty table gives an empty
-    result; equal vectors form one group; other columns are ignored.
+    result; equal vectors form one group; ties between lists and codewords go to the lower number; other columns are ignored.
     """
     units, dim, subspaces = unit_vectors(vectors, id_col, vec_col, subspaces)
-    units = cut(units)
+    same = cut(units.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids")))
+    units = same.select("vec_id", "vec")
     q = _trained(units, dim, per_list, subspaces, codewords, rounds)
     if q is None:
         return session(vectors).createDataFrame([], "keeper_vec_id bigint, vec_ids array<bigint>, n_vecs int")
     probed = units.mapInArrow(_probes(q, dim, probes), "cell bigint, vec_id bigint, vec binary, code binary")
     roots = components(whole_partitions(probed, ["cell"], _scan(q, dim, least_cosine, False), "a bigint, b bigint"))
-    groups = roots.groupBy(F.col("root").alias("keeper_vec_id")).agg(F.array_sort(F.collect_list("node")).alias("vec_ids"))
-    return groups.withColumn("n_vecs", F.size("vec_ids"))
+    joined = same.select("vec_id", "ids").join(roots, F.col("vec_id") == F.col("node"), "left").select(F.coalesce("root", "vec_id").alias("keeper_vec_id"), "ids")
+    groups = joined.groupBy("keeper_vec_id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("vec_ids"))
+    return groups.withColumn("n_vecs", F.size("vec_ids")).filter("n_vecs > 1")
 
 
 def _trained(units: DataFrame, dim: int, per_list: int, subspaces: int, codewords: int, rounds: int) -> Quantiser | None:

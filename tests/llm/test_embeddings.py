@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lexsieve.llm.embedding_dedup import near_embeddings, near_pairs
+from lexsieve.llm.embedding_dedup import groups_of, leaders_of, near_embeddings, near_pairs
 
 
 def test_recall_and_groups(spark):
@@ -60,3 +60,61 @@ def test_long_vectors_and_lengths_that_do_not_divide(spark, dim):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     got = {(r.a, r.b) for r in near_pairs(df, per_list=64, probes=8).collect()}
     assert len(exact) >= 290 and got <= exact and {(700 + i, i) for i in range(150)} <= got and len(got) >= 0.97 * len(exact)
+
+
+def groups_by(pairs, n):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    out = {}
+    for i in range(n):
+        out.setdefault(find(i), []).append(i)
+    return sorted(g for g in out.values() if len(g) > 1)
+
+
+def test_production_parameters_on_crowds_and_pairs(spark):
+    """Default parameters against all cosines: a crowd of near copies, copies, chains of copies of copies, and pairs near the threshold."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x[1000:1800] = x[0] + 0.1 * rng.normal(size=(800, 64))
+    x[1800:1900] = x[1]
+    for i in range(1900, 1960):
+        x[i] = x[i - 1] + 0.35 * rng.normal(size=64)
+    x[2000:2400] = x[2:402] + rng.uniform(0.1, 0.6, (400, 1)) * rng.normal(size=(400, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = groups_by(zip(*np.nonzero(np.tril(unit @ unit.T >= 0.9, -1))), 3000)
+    got = sorted(r.vec_ids for r in near_embeddings(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)).collect())
+    pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
+    assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.97 * len(pairs(want)) > 300_000
+
+
+def test_leaders():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1300, 16))
+    x[600:1200] = x[5] + 0.05 * rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lead = leaders_of(x, 0.97)
+    assert (np.einsum("ij,ij->i", x, x[lead]) >= 0.97 - 1e-9).all() and (lead[lead] == lead).all() and (lead <= np.arange(1300)).all()
+    heads = np.unique(lead)
+    assert len(heads) < 750 and (np.tril(x[heads] @ x[heads].T, -1) < 0.97).all()
+
+
+def test_number_of_lists():
+    assert groups_of(0, 512) == 1 and groups_of(51_200, 512) == 100 and groups_of(10**9, 512) == int(np.ceil(np.sqrt(96e9)))
+
+
+def test_many_equal_vectors_in_one_list_are_quick(spark):
+    import time
+
+    began = time.time()
+    df = spark.range(100_000).selectExpr("id vec_id", "array(1D, 2D, 3D) embedding")
+    got = near_embeddings(df).collect()
+    assert [r.n_vecs for r in got] == [100_000] and time.time() - began < 60
