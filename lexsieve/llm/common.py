@@ -25,13 +25,16 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share.
+    """The folder of spark.checkpoint.dir, which all executors share, else the one that the context has been given.
 
-    Where that is unset, a local master gets a temporary folder; a cluster is refused one.
+    Where both are unset, a local master gets a temporary folder; a cluster is refused one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
