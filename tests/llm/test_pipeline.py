@@ -105,3 +105,19 @@ def test_run_and_edge_cases(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert P.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    import glob
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    whole = "doc_id text lang source n_chars".split()
+    long = " ".join(f"the{i} of the and in to" for i in range(12_000))
+    odd = spark.createDataFrame([(9001, long, "en", "x", len(long))], docs.schema)
+    wide = docs.unionByName(odd).selectExpr(*whole, "1 node", "'w' words", "2 region", "3 hi", "null cell", "array(4) ids", "5 label")
+    wide.withColumn("cell", wide["cell"].cast("int")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {s.doc_id: s.end_word for r in P.run(spark, str(tmp_path)).collect() for s in r.segments}
+    assert 9001 in found and len(found) > 40
+    left = glob.glob(f"{P.checkpoint_folder(spark).removeprefix('file:')}/corpus-pipeline-*/*")
+    assert left and all(x.endswith("/4") for x in left)  # what earlier stages wrote is gone
