@@ -111,9 +111,11 @@ def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
     import glob
 
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    every = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = every.filter("doc_id < 60")
     whole = "doc_id text lang source n_chars".split()
-    long = " ".join(f"the{i} of the and in to" for i in range(12_000))
+    long = "\n".join(r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id >= 300 and lang = 'en'").collect())
+    assert len(long) > 400_000
     odd = spark.createDataFrame([(9001, long, "en", "x", len(long))], docs.schema)
     wide = docs.unionByName(odd).selectExpr(*whole, "1 node", "'w' words", "2 region", "3 hi", "null cell", "array(4) ids", "5 label")
     wide.withColumn("cell", wide["cell"].cast("int")).write.parquet(f"{tmp_path}/documents.parquet")
