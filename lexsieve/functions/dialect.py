@@ -88,6 +88,15 @@ class _Spark(Dialect):
         fields = ", ".join(f"'{c}', {c}" for c in columns)
         return f"SELECT inline(array(named_struct({fields}))) FROM ({query})"
 
+    def last_value(self, x, over):
+        return f"last({x}, true) OVER ({over})"
+
+    def keep_strings(self, x, name, test):
+        return f"filter({x}, {name} -> {test})"
+
+    def first_strings(self, x, most):
+        return f"array_join(slice({x}, 1, {most}), ' | ')"
+
     def words(self, x):
         return f"filter(split(trim({x}), '\\\\s+'), w -> w <> '')"
 
@@ -156,6 +165,15 @@ class _Duck(Dialect):
     def barrier(self, query, columns):
         return f"SELECT {', '.join(columns)} FROM ({query})"
 
+    def last_value(self, x, over):
+        return f"last_value({x} IGNORE NULLS) OVER ({over})"
+
+    def keep_strings(self, x, name, test):
+        return f"list_filter({x}, lambda {name}: {test})"
+
+    def first_strings(self, x, most):
+        return f"array_to_string(({x})[1:{most}], ' | ')"
+
     def words(self, x):
         return f"list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')"
 

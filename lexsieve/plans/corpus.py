@@ -43,3 +43,24 @@ def clause_documents(D: Dialect, base: str) -> str:
         SELECT doc_id, max(source) AS source, {D.concat_lines("item", "section_id")} AS full_text
         FROM (SELECT doc_id, source, section_id, concat({label}, clause_text) AS item FROM (SELECT *, {nth} AS nth FROM ({base})))
         GROUP BY doc_id"""
+
+
+HEADS = ["Master Direction on Digital Payment Security Controls", "Guidelines for Outsourcing\nof Information Technology Services", "Amendment Directions, 2025", "Annual statement of accounts of insurers", "Note"]
+DATES = ["March 5, 2024", "01.04.2025", "12th June 2023", "Date: 7 May 2022", "undated"]
+TAILPIECES = ["Yours faithfully,\n\n(A. N. Other)\nChief General Manager", "Jane Doe\nExecutive Director", "17", "(Signed)\nfor the office"]
+
+
+def circulars(D: Dialect, base: str | None = None) -> str:
+    """doc_id, source, full_text: whole circulars with number, date, title, sections of every kind of marker, annexes and signatures; every eleventh has no marker at all."""
+    nth = "row_number() OVER (PARTITION BY doc_id ORDER BY section_id)"
+    n = "CAST(nth AS VARCHAR(20))"
+    label = f"CASE WHEN doc_id % 11 = 0 THEN '' WHEN nth % 9 = 2 THEN concat({n}, '.1. ') WHEN nth % 9 = 3 THEN concat({n}, '.1.2. ') WHEN nth % 9 IN (4, 5) THEN '(iv) ' WHEN nth % 9 = 6 THEN concat('Section ', {n}, ': ') WHEN nth % 9 = 7 THEN concat('Annex ', {n}, ' - ') WHEN nth % 9 = 8 THEN concat({n}, '.', chr(10)) ELSE concat({n}, '. ') END"
+    number = "CASE WHEN doc_id % 3 = 0 THEN concat('RBI/2024-25/', CAST(doc_id AS VARCHAR(20)), chr(10)) ELSE '' END"
+    head = lambda values, k: D.pick(values, f"doc_id % {k}")
+    lines = lambda v: [x.replace("\n", "{n}") for x in v]
+    text = f"replace(concat({number}, {head(lines(DATES), 5)}, chr(10), {D.pick(lines(HEADS), 'doc_id % 7 % 5')}, chr(10), chr(10), 'Madam / Dear Sir,', chr(10), body, chr(10), {head(lines(TAILPIECES), 4)}), '{{n}}', chr(10))"
+    return f"""
+        SELECT doc_id, source, {text} AS full_text FROM (
+            SELECT doc_id, max(source) AS source, {D.concat_lines("item", "section_id")} AS body
+            FROM (SELECT doc_id, source, section_id, concat({label}, clause_text) AS item FROM (SELECT *, {nth} AS nth FROM ({base or clauses(D)})))
+            GROUP BY doc_id)"""

@@ -9,8 +9,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from .clauses import INNER, PLANS
+from . import structure
+from .clauses import INNER
+from .clauses import PLANS as CLAUSE_PLANS
 
+#: Every plan that has an oracle.
+PLANS = CLAUSE_PLANS | structure.PLANS
 TABLES = ("orders", "customer", "region", "documents")
 
 

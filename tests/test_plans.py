@@ -4,8 +4,7 @@ import duckdb
 import pytest
 
 from lexsieve.functions.dialect import DUCK
-from lexsieve.plans.clauses import PLANS
-from lexsieve.plans.queries import run
+from lexsieve.plans.queries import PLANS, run
 
 SF = "/root/testdata/sf0.001"
 
