@@ -133,11 +133,11 @@ class Quantiser:
         return self.centres[cell] + np.concatenate([self.books[j][codes[:, j]] for j in range(self.books.shape[0])], 1)
 
     def products(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric estimates of query . vector for the coded vectors of one cell, by table lookups."""
+        """Asymmetric estimates of vector . query for the coded vectors of one cell (rows) and queries (columns), by table lookups; single precision, right to 1e-5."""
         parts = queries.reshape(len(queries), self.books.shape[0], -1)
-        out = np.repeat((queries @ self.centres[cell])[:, None], len(codes), 1)
+        out = np.repeat((queries @ self.centres[cell]).astype(np.float32)[None], len(codes), 0)
         for j in range(self.books.shape[0]):
-            out += (parts[:, j] @ self.books[j].T)[:, codes[:, j]]
+            out += (self.books[j] @ parts[:, j].T).astype(np.float32)[codes[:, j]]
         return out
 
 
@@ -273,7 +273,7 @@ def _scan(q: Quantiser, dim: int, least: float, pairs: bool):
             for lo in range(0, len(here), 512):
                 asked = here[lo : lo + 512]
                 x = everything[asked].astype(np.float64)
-                r, n = np.nonzero(q.products(x, c, codes) >= floor)
+                n, r = np.nonzero(q.products(x, c, codes) >= (floor - 1e-5).astype(np.float32)[:, None])
                 exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", x[r[i : i + step]], base[heads[n[i : i + step]]]) for i in range(0, len(r), step)]])
                 ok = exact >= least - 1e-7
                 who, whom = [ids[asked[r[ok]]]], [ids[own[heads[n[ok]]]]]
