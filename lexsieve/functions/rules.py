@@ -540,6 +540,20 @@ def source_of(D: Dialect, x: str) -> str:
     return D.case(((D.any_of(low, words(w)), D.text(n)) for n, w in table), "'OTHER'")
 
 
+#: What names an issuer where, the first that does being the one. The orders differ on purpose.
+SOURCE_WORDS = {
+    "name": "RBI: rbi; SEBI: sebi; CERT-In: cert; DPDP: dpdp, meity; FIU-IND: fiu; NPCI: npci; IRDAI: irdai, insurance; IBA: iba",
+    "whole": "RBI: reserve bank of india, rbi/; SEBI: securities and exchange board of india, sebi/; CERT-In: cert-in, cert in; NPCI: national payments corporation of india, npci; IRDAI: insurance regulatory and development authority, irda; DPDP: digital personal data protection, dpdp; FIU-IND: financial intelligence unit, fiu; IBA: indian banks' association, indian banks association",
+    "analysis": "RBI: reserve bank, rbi; SEBI: sebi, securities and exchange board; CERT-In: cert-in; NPCI: npci, national payments corporation; IRDAI: insurance regulatory, irda, insurer; DPDP: digital personal data, dpdp; FIU-IND: financial intelligence unit, fiu; IBA: indian banks, iba",
+}
+
+
+def source_from(D: Dialect, low: str, where: str) -> str:
+    """issuer by a file's name, a whole text or the words of an analysis; low: in lower case."""
+    table = [x.split(":") for x in SOURCE_WORDS[where].split(";")]
+    return D.case(((D.any_of(low, words(w)), D.text(n.strip())) for n, w in table), "'OTHER'")
+
+
 def normalised(D: Dialect, x: str) -> str:
     """one kind of line break and blank, no ligatures, no more than one empty line."""
     x = f"replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ', ' ')"

@@ -10,8 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .. import flow
+from ..functions import rules as R
+from ..functions.dialect import SPARK
 from ..plans.queries import run
-from . import candidates, similar, units
+from . import candidates, repairs, similar, units, validation
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -65,30 +70,79 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(split, "chunk_id string, doc_id bigint, chunk_index int, total_chunks int, text string")
 
 
+def _actions(df: DataFrame) -> DataFrame:
+    """df(…, clause_text) with the clause's action phrase."""
+    schema = StructType([*df.schema.fields, StructField("action", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(action=[units.action(t) for t in b.clause_text])
+
+    return df.mapInPandas(run, schema)
+
+
 def _obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Obligations of the clauses in the shape that similar.py works on; ten neighbouring clauses are a section."""
-    found = run(ready(spark), sf_dir, "kept_obligations")
+    found = _actions(run(ready(spark), sf_dir, "candidate_clauses"))
     section = F.floor(F.col("section_id") / 10).cast("string")
     return found.select(
-        "doc_id", "source", F.col("section_id").alias("ord"), F.concat(section, F.lit("-"), F.col("section_id").cast("string")).alias("id"), section.alias("section_id"), section.alias("clause_number"), "actor", F.col("clause_text").alias("action"),
-        "obligation_type", "severity", "confidence", F.array(F.lit("Compliance"), "domain").alias("departments"), "deadline", F.lit(None).cast("string").alias("notes"), F.array().cast("array<string>").alias("cross_references"), F.array("domain").alias("evidence"), "penalty",
+        "doc_id", "source", F.col("section_id").alias("ord"), F.concat(section, F.lit("-"), F.col("section_id").cast("string")).alias("id"), section.alias("section_id"), section.alias("clause_number"), "actor", "action",
+        "obligation_type", "domain", "severity", "confidence", F.split("departments", ", ").alias("departments"), "deadline", "duration", "urgency", "deadline_date", F.lit(None).cast("string").alias("notes"), F.expr(R.cross_references(SPARK, "clause_text")).alias("cross_references"),
+        F.expr(R.evidence(SPARK, "low", "domain")).alias("evidence"), "penalty", F.lit(None).cast("string").alias("trigger"), "clause_text",
     )
 
 
 def _dedup(work: Callable, keys: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: similar.grouped(_obligations(spark, sf_dir), keys, work, "ord")
+    return lambda spark, sf_dir: similar.grouped(_obligations(spark, sf_dir).drop("clause_text", "trigger", "duration", "urgency", "deadline_date"), keys, work, "ord")
+
+
+def _documents(work: Callable[[similar.Rows], list[dict]], schema: str) -> Callable[[SparkSession, str], DataFrame]:
+    """work() over the obligations of each document."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _obligations(spark, sf_dir)
+
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            rows = part.sort_values("ord").to_dict("records")
+            for r in rows:
+                r.update({k: v.tolist() if hasattr(v, "tolist") else None if v != v else v for k, v in r.items() if k != "ord"})
+            return pd.DataFrame(work(rows), columns=names, dtype=object)
+
+        return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id").groupBy("doc_id").applyInPandas(run, schema)
+
+    return query
+
+
+def _text(rows: similar.Rows) -> str:
+    """The document as numbered lines: what validation reads."""
+    return "\n".join(f"{r['clause_number']}. {r['clause_text']}" for r in rows)
+
+
+def _validated(rows: similar.Rows) -> list[dict]:
+    got = validation.validate(_text(rows), rows[: -(-len(rows) // 2)])
+    doc = rows[0]["doc_id"]
+    return [{"doc_id": doc, "kind": "missed", "obligation_id": m["clause_number"], "field": "clause", "correct_value": "", "reason": m["reason_missed"]} for m in got["missed"]] + [{"doc_id": doc, "kind": "incorrect"} | f for f in got["incorrect"]]
+
+
+def _repaired(rows: similar.Rows) -> list[dict]:
+    """C16 of the first half of a document's obligations by what validation finds against its whole text."""
+    half = rows[: -(-len(rows) // 2)]
+    got = repairs.repair(half, validation.validate(_text(rows), half), text=_text(rows))
+    left = len(got["validation"]["incorrect"])
+    return [{"doc_id": rows[0]["doc_id"], "left": left} | {k: r.get(k) for k in ("id", "clause_number", "actor", "action", "obligation_type", "domain", "severity", "confidence", "deadline", "notes")} | {"departments": list(r["departments"])} for r in got["obligations"]]
 
 
-def obligation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C16 per document: the second half of the obligations counts as missed, the first as found wanting in severity."""
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circulars of the clause corpus as pages of files, the first 1500 characters of a circular being its first page."""
+    docs = run(ready(spark), sf_dir, "circular_texts").select(F.concat(F.lit("/in/"), F.lower("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "full_text")
+    page = F.posexplode(F.array(F.substring("full_text", 1, 1500), F.expr("substr(full_text, 1501)"))).alias("n", "text")
+    return docs.select("path", page).filter("text <> ''").select("path", (F.col("n") + 1).alias("page_number"), "text", F.length("text").alias("char_count"))
 
-    def work(rows: similar.Rows) -> similar.Rows:
-        half = -(-len(rows) // 2)
-        missed = [{"raw_text": r["action"], "clause_number": r["clause_number"]} for r in rows[half:]]
-        findings = [{"obligation_id": r["id"], "field": "severity", "correct_value": "high"} for r in rows[:half] if r["severity"] == "low"]
-        return [rows[0] | r for r in similar.repair(rows[:half], missed, findings)]
 
-    return similar.grouped(_obligations(spark, sf_dir), ["doc_id"], work, "ord")
+def _flow(what: str) -> Callable[[SparkSession, str], DataFrame]:
+    """C20: one of the tables of a whole run over the circulars."""
+    return lambda spark, sf_dir: getattr(flow.run(spark, _pages(spark, sf_dir)), what)
 
 
 def candidate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +158,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_document": _dedup(similar.dedup_document, ["doc_id"]),
         "dedup_section": _dedup(similar.dedup_section, ["source", "section_id"]),
         "dedup_and_merge": _dedup(similar.dedup_and_merge, ["source", "section_id"]),
-        "obligation_repair": obligation_repair,
+        "document_validation": _documents(_validated, "doc_id bigint, kind string, obligation_id string, field string, current_value string, correct_value string, reason string"),
+        "obligation_repair": _documents(_repaired, "doc_id bigint, id string, clause_number string, actor string, action string, obligation_type string, domain string, severity string, confidence double, deadline string, notes string, departments array<string>, left int"),
+        "pipeline_documents": _flow("documents"),
+        "pipeline_obligations": _flow("obligations"),
+        "pipeline_pairs": _flow("pairs"),
         "candidate_profile": candidate_profile,
     }
 

@@ -442,4 +442,4 @@ def candidate_clauses(D: Dialect, base: str | None = None) -> str:
 
 
 #: Plans that other operators build on.
-INNER: dict[str, Callable[[Dialect], str]] = {"candidate_clauses": candidate_clauses, "kept_obligations": kept}
+INNER: dict[str, Callable[[Dialect], str]] = {"candidate_clauses": candidate_clauses, "kept_obligations": kept, "circular_texts": corpus.circulars}

@@ -173,10 +173,10 @@ def skipped_sections(D: Dialect, base: str | None = None) -> str:
 
 
 def clause_lines(D: Dialect, base: str | None = None) -> str:
-    """Lines of 15 characters or more that begin with a number or a letter or roman number in brackets, blanks as one: what validation looks for obligations in."""
+    """Lines of 15 characters or more that begin with a number, or a roman one in brackets, and a full stop, blanks as one: what validation looks for obligations in."""
     flat = f"trim({D.replace('line', r'\s+', ' ')})"
-    form = r"(?i)^(\d+(?:\.\d+)*[A-Z]?\.|\([a-z]+\)|\([ivxlcdm]+\))\s+(.+)$"
-    return f"SELECT doc_id, pos, {D.replace(D.extract('flat', form, 1), r'[().]+$|^[(]', '')} AS clause_number, flat AS clause FROM (SELECT doc_id, pos, {flat} AS flat FROM ({text_lines(D, base)})) WHERE length(flat) >= 15 AND {D.matches('flat', form)}"
+    form = r"(?i)^([a-z]?\d+(?:\.\d+)*[a-z]?|\([ivxlcdm]+\))\.\s*(.+)$"
+    return f"SELECT doc_id, pos, {D.extract('flat', form, 1)} AS clause_number, flat AS clause FROM (SELECT doc_id, pos, {flat} AS flat FROM ({text_lines(D, base)})) WHERE length(flat) >= 15 AND {D.matches('flat', form)}"
 
 
 def analysis(D: Dialect, base: str | None = None) -> str:
@@ -199,6 +199,13 @@ def analysis(D: Dialect, base: str | None = None) -> str:
     return f"SELECT doc_id, {actor} AS primary_actor, CASE WHEN {named} = '' THEN 'Other' ELSE {named} END AS domains, {quoted} AS quotes, {listed} AS enumerates, {when} AS effective_text, {phrases} AS core_phrases FROM ({sources(D, base)})"
 
 
+def issuers_named(D: Dialect, base: str | None = None) -> str:
+    """the issuer by file name, by the first 4000 characters, by the whole text and by what analysis says, each in its own order."""
+    low, name = "lower(full_text)", f"lower(concat(CASE WHEN doc_id % 2 = 0 THEN source ELSE 'scan' END, '-', CAST(doc_id AS VARCHAR(20)), '.pdf'))"
+    said = f"concat(CASE WHEN contains({low}, 'insurer') THEN 'insurer' ELSE '' END, ' ', CASE WHEN source = 'RBI' THEN 'bank' ELSE 'regulated entity' END, ' ', substr({low}, 1, 4000))"
+    return f"SELECT doc_id, {R.source_from(D, name, 'name')} AS by_name, {R.source_of(D, 'full_text')} AS by_text, {R.source_from(D, low, 'whole')} AS by_whole, {R.source_from(D, said, 'analysis')} AS by_analysis FROM ({sources(D, base)})"
+
+
 PLANS: dict[str, Callable[[Dialect], str]] = {
     "document_structure": headers,
     "document_sections": sections,
@@ -207,4 +214,5 @@ PLANS: dict[str, Callable[[Dialect], str]] = {
     "section_filter": skipped_sections,
     "clause_lines": clause_lines,
     "document_analysis": analysis,
+    "source_detection": issuers_named,
 }
