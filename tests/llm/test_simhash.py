@@ -143,3 +143,54 @@ def test_ids_that_are_no_integers_are_left_out(spark):
     groups = near_duplicates(df, shards=2)
     assert [r.doc_ids for r in groups.collect()] == [[2, 3]]
     assert sorted(str(r.doc_id) for r in drop_near_duplicates(df, groups).collect()) == ["2", "None", "a1"]
+
+
+def near_copies(rng, bodies):
+    docs = []
+    for text in bodies:
+        near = list(text)
+        for _ in range(2):
+            near[rng.randrange(76)] = f"x{rng.randrange(10**6)}"
+        docs.append((len(docs), " ".join(near)))
+    return docs
+
+
+def test_crowds_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """A crowd of near copies is one group, from tables that grow with the crowd and not with its square."""
+    from lexsieve.llm import simhash_dedup
+
+    docs, rows, plain = near_copies(random.Random(8), [[f"w{i}" for i in range(100)]] * 800), [], simhash_dedup.cut
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "cut", counted)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), shards=1).collect()
+    assert [r.doc_ids for r in got] == [[d for d, _ in docs]]
+    assert max(rows) < 20 * len(docs)
+
+
+def test_crowds_keep_their_only_link(spark):
+    """Two crowds that one document joins, whose nearest codes are all in one of them."""
+    first = [f"w{i}" for i in range(100)]
+    docs = near_copies(random.Random(8), [first] * 400 + [first[:76] + [f"z{i}" for i in range(24)]] * 400)
+    assert [len(g) for g in brute(docs, 0.7)] == [400, 400]
+    docs.append((len(docs), " ".join(first[:88] + [f"z{i}" for i in range(12)])))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), shards=1).collect()
+    assert [r.doc_ids for r in got] == [[d for d, _ in docs]]
+
+
+def test_small_groups_are_found_beside_crowds():
+    """Pairs and small groups among a crowd's codes are reached from any entry, at the narrow beam."""
+    rng = np.random.default_rng(4)
+    flip = lambda codes, n: codes ^ np.packbits(rng.random((len(codes), 128)).argsort(1).argsort(1) < n, axis=1).view(U)
+    topics = flip(np.repeat(rng.integers(0, 1 << 63, (40, 2)).astype(U), 100, axis=0), 30)
+    codes = np.concatenate([topics, flip(np.repeat(topics[:250], 36, axis=0), 9), flip(topics[250:3000], 9)])
+    codes = codes[rng.permutation(len(codes))]
+    graph, tried = SmallWorld(codes), np.arange(1000)
+    q, n = graph.within(codes[tried], 24, 32)
+    exact = {(a, int(b)) for a in tried.tolist() for b in np.flatnonzero(distance(codes[a][None], codes) <= 24)}
+    found = set(zip(q.tolist(), n.tolist()))
+    assert len(found) == len(q) and found <= exact and len(found) >= 0.99 * len(exact)
