@@ -124,3 +124,18 @@ def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
     assert 9001 in found and len(found) > 40
     left = glob.glob(f"{P.checkpoint_folder(spark).removeprefix('file:')}/corpus-pipeline-*/*")
     assert left and all(x.endswith("/4") for x in left)  # what earlier stages wrote is gone
+
+
+def test_packing_stage_keeps_links_between_regions(spark, monkeypatch):
+    """The stage's paths follow the links of all documents: with many regions as with one."""
+    import random
+
+    rng, plain = random.Random(12), P.pack
+    rows = [(i, " ".join(rng.choices([f"{'abcdef'[i % 6]}{n}" for n in range(60)], k=rng.randint(5, 90)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = []
+    for most in (10_000, 50):
+        monkeypatch.setattr(P, "pack", lambda docs, most=most: plain(docs, window=10**6, per_cell=20, region_docs=most))
+        out = P.packing(spark, df, "").collect()
+        runs.append({frozenset((a.doc_id, b.doc_id)) for r in out for a, b in zip(r.segments, r.segments[1:])})
+    assert len(runs[0] & runs[1]) > 0.8 * len(runs[0])
