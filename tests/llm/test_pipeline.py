@@ -139,3 +139,25 @@ def test_packing_stage_keeps_links_between_regions(spark, monkeypatch):
         out = P.packing(spark, df, "").collect()
         runs.append({frozenset((a.doc_id, b.doc_id)) for r in out for a, b in zip(r.segments, r.segments[1:])})
     assert len(runs[0] & runs[1]) > 0.8 * len(runs[0])
+
+
+def test_packing_stage_links_the_nearest_by_whole_word_vectors(spark, monkeypatch):
+    """Of the 6 nearest of each document, found by comparing all, at least 0.9 are linked."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexsieve.llm import packing
+
+    told = []
+    plain = packing.joined_paths
+    monkeypatch.setattr(packing, "joined_paths", lambda links, placed: told.append(links) or plain(links, placed))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    P.packing(spark, docs, "")
+    linked = {(r.a, r.b) for r in told[0].collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if words(r.text)]
+    ids, x = np.array([i for i, _ in rows]), np.concatenate([v for _, v, _ in packing.hashed_words(pa.array([t for _, t in rows]))])
+    like = x @ x.T
+    np.fill_diagonal(like, -1)
+    near = np.argsort(-like, axis=1, kind="stable")[:, :6]
+    found = [(min(a, b), max(a, b)) in linked for i, a in enumerate(ids) for b in ids[near[i]]]
+    assert np.mean(found) >= 0.9
