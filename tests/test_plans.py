@@ -30,3 +30,9 @@ def test_same_rows(spark, con, name):
     at = [[d[0] for d in cur.description].index(c) for c in names]
     assert got == plain(tuple(r[i] for i in at) for r in cur.fetchall())
     assert got and all(len(set(col)) >= 1 for col in zip(*got))
+
+
+def test_no_word_of_a_clause_travels(spark):
+    """pattern_cosine: before, the words of all clauses were shuffled, and fields and norms joined to them."""
+    plan = run(spark, SF, "pattern_cosine")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
